@@ -1,0 +1 @@
+"""No operator of this library is a stream: every input is a bounded table (see README)."""
