@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mendset.functions.text import let
+
 
 def draw(seed: int, *parts: Column | str) -> Column:
     """A bigint in [0, 2^32) decided by the seed and the parts."""
@@ -15,5 +17,8 @@ def draw(seed: int, *parts: Column | str) -> Column:
 
 def pick(candidates: Column, number: Column) -> Column:
     """The element the draw points at; null for an empty array."""
-    at = F.pmod(number, F.greatest(F.size(candidates), F.lit(1))).cast("int")
-    return F.get(candidates, at)
+
+    def at(c: Column) -> Column:
+        return F.get(c, F.pmod(number, F.greatest(F.size(c), F.lit(1))).cast("int"))
+
+    return let(candidates, at)

@@ -121,11 +121,13 @@ def _spans(text: Column, header: str, comments: bool) -> Column:
         _peel(text, header, comments),
         lambda peeled: F.transform(starts(peeled), lambda p: close(peeled, p)),
     )
-    return F.filter(
+    balanced = F.filter(
         spans,
         lambda s: (s["end"] > s["start"])
         & code_point_slice(text, s["start"], s["end"]).rlike(rf"(?d)^{header}\{{"),
     )
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    return F.when(text.rlike(rf"(?md)^{header}\{{"), balanced).otherwise(none)
 
 
 def block_spans(text: Column, kind: str, label: str | None = None) -> Column:

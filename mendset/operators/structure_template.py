@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 NODE_TYPE = (
-    "struct<path:array<string>,key:string,value:string,kind:string,size:int,"
-    "start:int,end:int,cut_start:int,cut_end:int,cut_text:string,flow:boolean>"
+    "struct<path:array<string>,key:string,value:string,kind:string,size:int,start:int,end:int,"
+    "column:int,flow:boolean,items:array<struct<value:string,kind:string,size:int,start:int,end:int>>,"
+    "cut_start:int,cut_end:int,cut_text:string>"
 )
 # path     the keys that lead to the node, its own key last; list positions as text
-# kind     str, int, float, bool, null, list, map
-# start/end  the value in the source; cut_*  the edit that deletes the whole entry
-# size     number of children of a list or map
+# kind     str, int, float, bool, null, list, map;  size  number of children of a list or map
+# start/end  the value in the source;  column  of its start;  flow  written inside or as [..] or {..}
+# items    the elements of a list;  cut_*  the edit that deletes the whole entry
+
+ITEM = ("value", "kind", "size", "start", "end")
 
 
 def _compose(text: str):
@@ -45,58 +48,63 @@ def _rows(text: str) -> list[tuple]:
             return end_of(last[1] if isinstance(last, tuple) else last)
         return node.start_mark.index + len(text[node.start_mark.index : node.end_mark.index].rstrip())
 
-    def describe(node, start: int) -> tuple:
-        kind = {"MappingNode": "map", "SequenceNode": "list"}.get(type(node).__name__)
-        if kind is None:
-            tag = node.tag.rsplit(":", 1)[-1]
-            kind = tag if tag in ("int", "float", "bool", "null") else "str"
-        size = 0 if isinstance(node.value, str) else len(node.value)
-        value = node.value if isinstance(node.value, str) else None
-        return value, kind, size, start, max(end_of(node), start), bool(getattr(node, "flow_style", False))
-
-    def visit(node, path: list[str], open_: frozenset) -> None:
+    def kind_of(node) -> tuple[str | None, str, int]:
+        if node.tag.startswith("!") or isinstance(node.value, str):
+            kind = node.tag.rsplit(":", 1)[-1]
+            simple = kind if kind in ("int", "float", "bool", "null") else "str"
+            return (node.value, simple, 0) if isinstance(node.value, str) else (None, "map", 1)
+        return None, "map" if type(node).__name__ == "MappingNode" else "list", len(node.value)
+
+    def untagged(node) -> tuple[str | None, str, int]:
+        if isinstance(node.value, str):
+            return node.value, "str", 0
+        return None, "map" if type(node).__name__ == "MappingNode" else "list", len(node.value)
+
+    def emit(path: list[str], shape: tuple, node, start: int, flow: bool, cut: tuple) -> None:
+        listed = type(node).__name__ == "SequenceNode" and shape[1] == "list"
+        items = [
+            dict(zip(ITEM, (*kind_of(x), x.start_mark.index, max(end_of(x), x.start_mark.index))))
+            for x in (node.value if listed else [])
+        ]
+        column = start - (text.rfind("\n", 0, start) + 1)
+        flow = flow or bool(getattr(node, "flow_style", False))
+        out.append((path, path[-1], *shape, start, max(end_of(node), start), column, flow, items, *cut))
+
+    def visit(node, path: list[str], flow: bool, open_: frozenset) -> None:
         if id(node) in open_:  # an alias inside itself
             return
         open_ = open_ | {id(node)}
-        start = node.start_mark.index
-        tag = re.match(r"!(\w+)[ \t]*\n?[ \t]*", text[start : end_of(node)]) if node.tag.startswith("!") else None
-        if tag and re.fullmatch(r"!\w+", node.tag):
+        begin, finish = node.start_mark.index, end_of(node)
+        tag = re.match(r"!(\w+)\s*", text[begin:finish]) if node.tag.startswith("!") else None
+        if tag:
             # shorthand: the value becomes the only entry of a map named after the tag
-            name = tag.group(1)
-            value, kind, size, _, end, flow = describe(node, start)
-            out.append(([*path, name], name, value, kind, size, start + tag.end(), end, start, end, "{}", flow))
-            path = [*path, name]
+            path = [*path, tag.group(1)]
+            emit(path, untagged(node), node, begin + tag.end(), flow, (begin, finish, "{}"))
+        inner = flow or bool(getattr(node, "flow_style", False))
         if type(node).__name__ == "MappingNode":
-            entries = node.value
+            entries = [(k, v) for k, v in node.value if isinstance(k.value, str)]
             for i, (k, v) in enumerate(entries):
-                if not isinstance(k.value, str):
-                    continue
-                v_start = v.start_mark.index
-                value, kind, size, _, end, flow = describe(v, v_start)
-                if v.tag.startswith("!"):
-                    value, kind, size = None, "map", 1
+                v_start, v_end = v.start_mark.index, max(end_of(v), v.start_mark.index)
                 if len(entries) == 1:
-                    cut = (node.start_mark.index, end_of(node), "{}")
+                    cut = (begin + (tag.end() if tag else 0), finish, "{}")
+                elif node.flow_style and i + 1 < len(entries):
+                    cut = (k.start_mark.index, entries[i + 1][0].start_mark.index, "")
                 elif node.flow_style:
-                    cut = (
-                        (k.start_mark.index, entries[i + 1][0].start_mark.index, "")
-                        if i + 1 < len(entries)
-                        else (end_of(entries[i - 1][1]), max(end, v_start), "")
-                    )
+                    cut = (end_of(entries[i - 1][1]), v_end, "")
                 else:
+                    after = text.find("\n", v_end)
                     line = text.rfind("\n", 0, k.start_mark.index) + 1
-                    after = text.find("\n", max(end, v_start))
                     cut = (line, len(text) if after < 0 else after + 1, "")
-                here = [*path, k.value]
-                out.append((here, k.value, value, kind, size, v_start, max(end, v_start), *cut, flow))
-                visit(v, here, open_)
+                shape = (None, "map", 1) if v.tag.startswith("!") else kind_of(v)
+                emit([*path, k.value], shape, v, v_start, inner, cut)
+                visit(v, [*path, k.value], inner, open_)
         elif type(node).__name__ == "SequenceNode":
             for i, item in enumerate(node.value):
-                visit(item, [*path, str(i)], open_)
+                visit(item, [*path, str(i)], inner, open_)
 
     root = _compose(text)
     if type(root).__name__ == "MappingNode":
-        visit(root, [], frozenset())
+        visit(root, [], False, frozenset())
     return out
 
 
