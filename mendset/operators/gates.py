@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from mendset.functions.text import fence_strip, is_blank, line_count, split_lines, strip
 
@@ -14,13 +15,13 @@ MIN_SIMILARITY = 0.7
 MAX_CHANGED = 0.2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(gold: pd.Series, broken: pd.Series) -> pd.Series:
     """Character similarity of difflib, with its popular-character rule; no SQL function has it."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(gold, broken)], dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def changed_lines(gold: pd.Series, broken: pd.Series) -> pd.Series:
     """Added plus removed lines of the unified diff."""
 
@@ -31,6 +32,11 @@ def changed_lines(gold: pd.Series, broken: pd.Series) -> pd.Series:
     return pd.Series([count(a, b) for a, b in zip(gold, broken)], dtype="int32")
 
 
+# a filter on the result must not make Spark run the comparison a second time
+similarity = similarity.asNondeterministic()
+changed_lines = changed_lines.asNondeterministic()
+
+
 def similarity_bound(gold: Column, broken: Column) -> Column:
     """An upper bound of the similarity from the lengths alone."""
     both = F.length(gold) + F.length(broken)
