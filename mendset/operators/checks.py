@@ -16,7 +16,6 @@ from mendset.operators.faults_template import ENCRYPTION_PROPERTIES, REQUIRED_PR
 from mendset.operators.structure_hcl import (
     _blank_quotes,
     attribute_table,
-    attributes,
     resource_refs,
     variable_refs,
 )
@@ -83,7 +82,9 @@ def required_arguments(text: Column, blocks: Column) -> Column:
 
     def of_block(b):
         wanted = F.coalesce(F.try_element_at(table, b["type"]), F.array().cast("array<string>"))
-        held = F.transform(attributes(text, b), lambda a: a["name"])
+        # at any depth: an argument whose value opens a bracket counts as given
+        body = code_point_slice(text, b["start"], b["end"])
+        held = F.regexp_extract_all(body, F.lit(r"(?m)^[ \t]*(\w+)[ \t]*="), F.lit(1))
         return _each(
             F.array_except(wanted, held), "E005", lambda n: _says("Missing argument ", n, " in ", b["type"], ".", b["name"])
         )
@@ -155,9 +156,11 @@ def open_ingress(text: Column) -> Column:
 
 def encryption(text: Column, blocks: Column) -> Column:
     def bare(b):
+        # a bucket may be covered by a resource of its own, so the whole text is searched for it
+        own = code_point_slice(text, b["start"], b["end"])
+        place = F.when(b["type"] == "aws_s3_bucket", text).otherwise(own)
         tests = [
-            (b["type"] == t) & ~code_point_slice(text, b["start"], b["end"]).rlike(rf"\b({names})\b")
-            for t, names in ENCRYPTION_ARGUMENTS.items()
+            (b["type"] == t) & ~place.rlike(rf"\b(\w+_)?({names})\b") for t, names in ENCRYPTION_ARGUMENTS.items()
         ]
         any_test = tests[0]
         for t in tests[1:]:
@@ -224,6 +227,14 @@ def required_properties(nodes: Column) -> Column:
     return F.flatten(F.transform(types, of_resource))
 
 
+def template_literals(nodes: Column) -> Column:
+    bad = F.filter(
+        nodes,
+        lambda n: (n["key"] == "ImageId") & (n["kind"] == "str") & ~n["value"].rlike("^ami-[0-9a-f]+$"),
+    )
+    return _each(bad, "E008", lambda n: _says("Invalid image ", n["value"]))
+
+
 def intrinsics(nodes: Column) -> Column:
     subs = F.transform(
         intrinsic(nodes, "Sub"), lambda n: F.coalesce(n["value"], F.get(n["items"], F.lit(0))["value"])
@@ -310,7 +321,8 @@ def template_encryption(nodes: Column) -> Column:
 
 def template_findings(text: Column, nodes: Column) -> Column:
     return F.concat(
-        layout(text), dangling_ref(nodes), required_properties(nodes), intrinsics(nodes),
+        layout(text), dangling_ref(nodes), required_properties(nodes), template_literals(nodes),
+        intrinsics(nodes),
         template_cycle(nodes), template_open_ingress(nodes), template_encryption(nodes),
     )
 

@@ -162,3 +162,33 @@ def nested_get(nodes: Column, path: list[str]) -> Column:
 
 def resource_type(nodes: Column, logical_id: Column) -> Column:
     return node_at(nodes, F.array(F.lit("Resources"), logical_id, F.lit("Type")))["value"]
+
+
+def nested_set(text: Column, nodes: Column, path: list[str], value: str) -> Column:
+    """The edit part that sets a scalar at a path, creating the maps that are missing.
+
+    Null when something on the way exists but is not a map.
+    """
+    quoted = f'"{value}"'
+    answer = F.lit(None).cast("struct<start:int,end:int,replacement:string>")
+    for depth in range(1, len(path) + 1):
+        # deepest existing node first, so build the fallbacks from the root downwards
+        rest = path[depth:]
+        at = node_at(nodes, F.array(*[F.lit(p) for p in path[:depth]]))
+        if not rest:
+            found = F.struct(at["start"].alias("start"), at["end"].alias("end"), F.lit(quoted).alias("replacement"))
+        else:
+            inner = quoted
+            for key in reversed(rest[1:]):
+                inner = f'{{"{key}": {inner}}}'
+            flow = F.concat(F.lit(f'"{rest[0]}": {inner}'), F.when(at["size"] > 0, F.lit(", ")).otherwise(""))
+            block = F.concat(F.lit(f"{rest[0]}: {inner}\n"), F.rpad(F.lit(""), at["column"], F.lit(" ")))
+            spot = at["start"] + F.when(at["flow"], 1).otherwise(0)
+            found = F.when(
+                at["kind"] == "map",
+                F.struct(
+                    spot.alias("start"), spot.alias("end"), F.when(at["flow"], flow).otherwise(block).alias("replacement")
+                ),
+            )
+        answer = F.when(at.isNotNull(), found).otherwise(answer)
+    return answer

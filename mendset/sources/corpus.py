@@ -44,6 +44,11 @@ def record_scan(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) ->
     return spark.read.schema(schema).json(path)
 
 
+def parse_records(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """The same for JSON text in a column: `parsed` holds the known fields only."""
+    return lines.withColumn("parsed", F.from_json(column, schema))
+
+
 def landing_key(repo: Column, path: Column, extension: Column) -> Column:
     safe = F.translate(F.concat(repo, F.lit("__"), path), "/\\", "__")
     return F.when(F.endswith(safe, extension), safe).otherwise(F.concat(safe, extension))
