@@ -47,7 +47,7 @@ def edits_of(
     document = Document(seed, salt)
     staged = prepare(configs, family)
     columns = [F.col(c) for c in configs.columns]
-    edits = F.array(*[_edit_column(n, document) for n in names])
+    edits = F.array(*[_edit_column(n, document) for n in names]).cast(f"array<{EDIT_TYPE}>")
     found = staged.select(*columns, F.explode(F.filter(edits, lambda e: e.isNotNull())).alias("edit"))
     broken = found.withColumn("broken", splice(F.col("text"), F.col("edit.parts")))
     return broken.filter(F.col("broken") != F.col("text")).select(
@@ -67,6 +67,10 @@ def inject(
     """Faults of each config's own format; configs of any other format yield nothing."""
     hcl = configs.filter(F.col("format").isin(*HCL_FORMATS))
     template = configs.filter(F.col("format") == "cloudformation")
+    if template_faults == []:
+        return edits_of(hcl, "hcl", hcl_faults, seed, salt)
+    if hcl_faults == []:
+        return edits_of(template, "template", template_faults, seed, salt)
     return edits_of(hcl, "hcl", hcl_faults, seed, salt).unionAll(
         edits_of(template, "template", template_faults, seed, salt)
     )
