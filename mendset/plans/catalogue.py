@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mendset.operators.inject import edits_of
 from mendset.operators.records import group_split, to_record
 from mendset.operators.taxonomy import fault_dim
-from mendset.plans import corpus, datasets, faults, quality, structure  # noqa: F401  (they register)
+from mendset.plans import corpus, datasets, faults, quality, scoring, structure, synthetic  # noqa: F401  (they register)
 from mendset.plans.base import QUERIES, SQL
 from mendset.sources.rendered import hcl_configs
 
