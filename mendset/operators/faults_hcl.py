@@ -205,7 +205,8 @@ def missing_required_argument(d: Document) -> Column:
         )
 
     def build(order):
-        hit = F.get(F.filter(F.transform(order, candidate), lambda c: c["a"].isNotNull()), F.lit(0))
+        typed = F.filter(order, lambda s: s["b"]["type"].isin(*[t for t, v in REQUIRED_ARGUMENTS.items() if v]))
+        hit = F.get(F.filter(F.transform(typed, candidate), lambda c: c["a"].isNotNull()), F.lit(0))
         first = F.get(order, F.lit(0))["b"]
         fallback = let(
             F.get(attributes(d.text, first), F.lit(0)),

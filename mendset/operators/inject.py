@@ -7,6 +7,8 @@ No text is shuffled anywhere on the way from a config to its broken variants.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ def _edit_column(fault_id: str, document: Document) -> Column:
     return let(REGISTRY[fault_id](document), named).cast(EDIT_TYPE)
 
 
+EDIT_FIELDS = [
+    "fault_id", "parts", "original_snippet", "modified_snippet", "location", "description", "broken",
+]
+
+
+def _applied(text: Column, e: Column) -> Column:
+    """The edit with the broken text it makes."""
+    return F.struct(*[e[f] for f in EDIT_FIELDS[:-1]], splice(text, e["parts"]).alias("broken"))
+
+
 def prepare(configs: DataFrame, family: str) -> DataFrame:
     """Add the structure column the builders of a family ("hcl" or "template") read."""
     if family == "hcl":
@@ -45,16 +57,15 @@ def edits_of(
     """
     names = faults if faults is not None else (HCL_FAULTS if family == "hcl" else TEMPLATE_FAULTS)
     document = Document(seed, salt)
-    staged = prepare(configs, family)
     columns = [F.col(c) for c in configs.columns]
     edits = F.array(*[_edit_column(n, document) for n in names]).cast(f"array<{EDIT_TYPE}>")
-    found = staged.select(*columns, F.explode(F.filter(edits, lambda e: e.isNotNull())).alias("edit"))
-    broken = found.withColumn("broken", splice(F.col("text"), F.col("edit.parts")))
-    return broken.filter(F.col("broken") != F.col("text")).select(
-        *columns,
-        "edit.fault_id", "edit.parts", "edit.original_snippet", "edit.modified_snippet",
-        "edit.location", "edit.description", "broken",
-    )
+    built = prepare(configs, family).select(*columns, edits.alias("edits"))
+    applied = F.filter(
+        F.transform(F.filter("edits", lambda e: e.isNotNull()), lambda e: _applied(F.col("text"), e)),
+        lambda e: e["broken"] != F.col("text"),
+    )
+    found = built.select(*columns, F.explode(applied).alias("edit"))
+    return found.select(*columns, *[F.col(f"edit.{f}") for f in EDIT_FIELDS])
 
 
 def inject(
@@ -106,25 +117,35 @@ def attempt_loop(
     configs: DataFrame,
     family: str,
     faults: list[str],
-    accept,
+    accept: Callable[[Column], Column],
     max_retries: int = 3,
     seed: int = 42,
 ) -> DataFrame:
-    """First accepted attempt per config; attempt i tries fault i mod len(faults).
+    """First accepted attempt per config; attempt i tries fault i mod len(faults) with a new draw.
 
-    `accept` maps the rows of one attempt (as `edits_of` yields them) to those accepted. Each
-    attempt draws anew. The winner is the row's lowest attempt number; since every attempt keeps
-    the doc_id unique, the choice is a min per doc_id over narrow rows, joined back on the key.
+    `accept` judges an edit (a struct with the edit's fields and `broken`). The attempts of a
+    config form one coalesce in its row, so a later one is made only when the earlier ones failed,
+    and nothing is shuffled.
     """
-    tries = []
-    for i in range(max_retries):
-        one = edits_of(configs, family, [faults[i % len(faults)]], seed, salt=str(i) if i else "")
-        tries.append(accept(one).withColumn("attempts", F.lit(i + 1)))
-    rows = tries[0]
-    for t in tries[1:]:
-        rows = rows.unionAll(t)
-    first = rows.groupBy("doc_id").agg(F.min("attempts").alias("attempts"))
-    return rows.join(first, ["doc_id", "attempts"], "left_semi")
+
+    def attempt(i: int) -> Column:
+        document = Document(seed, str(i) if i else "")
+
+        def judged(e: Column) -> Column:
+            changed = e["broken"] != F.col("text")
+            number = F.lit(i + 1).alias("attempts")
+            return F.when(changed & accept(e), F.struct(*[e[f] for f in EDIT_FIELDS], number))
+
+        made = let(
+            _edit_column(faults[i % len(faults)], document),
+            lambda e: F.when(e.isNotNull(), _applied(F.col("text"), e)),
+        )
+        return let(made, judged)
+
+    columns = [F.col(c) for c in configs.columns]
+    won = F.coalesce(*[attempt(i) for i in range(max_retries)])
+    rows = prepare(configs, family).select(*columns, F.explode(F.filter(F.array(won), lambda e: e.isNotNull())).alias("edit"))
+    return rows.select(*columns, *[F.col(f"edit.{f}") for f in [*EDIT_FIELDS, "attempts"]])
 
 
 def agentic_edits(responses: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def na_counts(configs: DataFrame, selected: DataFrame, records: DataFrame) -> Da
         records.select("format", F.explode("fault_types").alias("fault_id"))
         .groupBy("format", "fault_id").agg(F.count("*").alias("hits"))
     )
-    pairs = selected.select("format", "fault_id").join(F.broadcast(golds), "format")
+    pairs = selected.select("format", "fault_id").join(golds, "format")
     return (
         pairs.join(hit, ["format", "fault_id"], "left")
         .groupBy("fault_id")

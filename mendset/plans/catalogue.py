@@ -10,6 +10,7 @@ from mendset.operators.records import group_split, to_record
 from mendset.operators.taxonomy import fault_dim
 from mendset.plans import corpus, datasets, faults, quality, scoring, structure, synthetic  # noqa: F401  (they register)
 from mendset.plans.base import QUERIES, SQL
+from mendset.sources.corpus import materialized
 from mendset.sources.rendered import hcl_configs
 
 __all__ = ["QUERIES", "SQL", "flagship"]
@@ -18,7 +19,7 @@ __all__ = ["QUERIES", "SQL", "flagship"]
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the order table to fault counts per split."""
     broken = edits_of(hcl_configs(spark, sf_dir), "hcl", ["SEMANTIC.invalid_cidr", "SEMANTIC.invalid_region"])
-    records = group_split(to_record(broken, fault_dim(spark)))
+    records = group_split(materialized(to_record(broken, fault_dim(spark))))
     return (
         records.select("split", F.explode("fault_types").alias("fault_type"))
         .groupBy("split", "fault_type").agg(F.count("*").alias("records"))

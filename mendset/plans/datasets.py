@@ -278,8 +278,8 @@ def bench_head(spark, sf_dir):
 UNION ALL SELECT 'INTRINSIC', 'medium', least(100, count(DISTINCT md5(text))) FROM configs WHERE contains(text, '!Join')""",
 )
 def curate_benchmark(spark, sf_dir):
-    """From configs to a balanced benchmark in one plan."""
+    """From configs to a balanced benchmark, with the records written once in between."""
     broken = inject(configs(spark, sf_dir), ["SEMANTIC.invalid_region"], ["INTRINSIC.invalid_join"])
-    rows = records.to_record(broken, fault_dim(spark))
+    rows = corpus.materialized(records.to_record(broken, fault_dim(spark)))
     chosen = curation.balanced_select(curation.bench_dedup(curation.bench_filter(rows)), 200)
     return chosen.groupBy("category", "difficulty").agg(F.count("*").alias("entries"))

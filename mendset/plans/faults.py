@@ -403,7 +403,7 @@ def attempt_loop_query(spark, sf_dir):
     hit = "resource \"aws_instance"
     won = attempt_loop(
         hcl_configs(spark, sf_dir), "hcl", ["SYNTACTIC.missing_closing_brace"],
-        accept=lambda rows: rows.filter(F.col("location").startswith(hit)),
+        accept=lambda e: e["location"].startswith(hit),
     )
     target = F.regexp_replace("location", r'^resource "([^"]+)" "([^"]+)"$', "$1.$2")
     return won.select("doc_id", F.col("attempts").cast("bigint").alias("attempts"), target.alias("target"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,12 +91,19 @@ def landing_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def split_sink(records: DataFrame, path: str, order: list[str]) -> None:
-    """JSON lines, one folder per split. Sorted inside files, never globally."""
-    rows = records.withColumn("split_key", F.col("split"))
-    rows.sortWithinPartitions("split_key", "gold_hash", *order).drop(
-        *[c for c in order if c not in ("id",)]
-    ).write.partitionBy("split_key").mode("overwrite").json(path, ignoreNullFields=False)
+def split_sink(records: DataFrame, path: str, ordered: bool = True) -> None:
+    """JSON lines, one folder per split, in the order of (gold_hash, seq).
+
+    The order holds across the files of a split: rows are range-partitioned by it. `seq` is part of
+    the range key, so the records of one much-copied text can still spread over several tasks.
+    ordered=False skips that exchange and sorts inside the files only.
+    """
+    rows = records.withColumn("folder", F.col("split"))
+    key = ["folder", "gold_hash", "seq"]
+    placed = rows.repartitionByRange(*key) if ordered else rows
+    placed.sortWithinPartitions(*key).drop("seq").withColumnRenamed("folder", "split_folder").write.partitionBy(
+        "split_folder"
+    ).mode("overwrite").json(path, ignoreNullFields=False)
 
 
 def benchmark_rows(selected: DataFrame) -> DataFrame:
@@ -114,3 +124,20 @@ def chat_split_sink(chats: DataFrame, path: str) -> None:
     """Chat rows (split, messages) in folders train, valid and test; absent splits make no folder."""
     renamed = F.when(F.col("split") == "val", "valid").otherwise(F.col("split"))
     chats.select(renamed.alias("split"), "messages").write.partitionBy("split").mode("overwrite").json(path)
+
+
+def materialized(rows: DataFrame) -> DataFrame:
+    """Write rows as a table once and read them back, for plans that use them several times.
+
+    The table goes to the shared folder of `spark.checkpoint.dir`; it survives lost executors, and
+    readers get column pruning. Only a local session without that setting uses a temporary folder.
+    """
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="mendset-")
+    path = f"{folder.rstrip('/')}/mendset-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
