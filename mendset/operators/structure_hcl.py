@@ -11,6 +11,8 @@ scan. There is a character for each of 6,400 levels; deeper nesting counts as un
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +77,14 @@ def _peel(text: Column, header: str, comments: bool) -> Column:
         # few texts nest beyond the first levels; those that do are peeled as deep as they go
         last = F.least(_depth(t) + USUAL_LEVELS, F.lit(len(LEVELS)))
         more = F.sequence(F.lit(USUAL_LEVELS + 1), F.greatest(last, F.lit(USUAL_LEVELS + 1)))
-        return F.when(t.rlike(PAIR), F.aggregate(more, t, level)).otherwise(t)
+        return F.when(t.contains("{") & t.rlike(PAIR), F.aggregate(more, t, level)).otherwise(t)
+
+    def if_any(k: int) -> Callable[[Column], Column]:
+        return lambda t: F.when(t.contains("{"), level(t, k)).otherwise(t)
 
     peeled = masked
     for k in range(1, USUAL_LEVELS + 1):
-        peeled = level(peeled, k)
+        peeled = let(peeled, if_any(k))
     return let(peeled, deeper)
 
 

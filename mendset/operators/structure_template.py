@@ -24,7 +24,10 @@ NODE_TYPE = (
 # start/end  the value in the source;  column  of its start;  flow  written inside or as [..] or {..}
 # items    the elements of a list;  cut_*  the edit that deletes the whole entry
 
-ITEM = ("value", "kind", "size", "start", "end")
+
+# texts parsed before their nodes are handed back; keeps few Python objects alive at a time
+PARSE_ROWS = 200
+SHORTHAND = re.compile(r"!(\w+)\s*")
 
 
 def _compose(text: str):
@@ -38,73 +41,83 @@ def _compose(text: str):
 
 
 def _rows(text: str) -> list[tuple]:
-    """All map entries of a template in document order."""
+    """All map entries of a template in document order, as NODE_TYPE tuples."""
     out: list[tuple] = []
-
-    def end_of(node) -> int:
-        # a block collection's own end mark lies after the blank lines that follow it
-        if getattr(node, "flow_style", None) is False and node.value:
-            last = node.value[-1]
-            return end_of(last[1] if isinstance(last, tuple) else last)
-        return node.start_mark.index + len(text[node.start_mark.index : node.end_mark.index].rstrip())
-
-    def kind_of(node) -> tuple[str | None, str, int]:
-        if node.tag.startswith("!") or isinstance(node.value, str):
-            kind = node.tag.rsplit(":", 1)[-1]
-            simple = kind if kind in ("int", "float", "bool", "null") else "str"
-            return (node.value, simple, 0) if isinstance(node.value, str) else (None, "map", 1)
-        return None, "map" if type(node).__name__ == "MappingNode" else "list", len(node.value)
-
-    def untagged(node) -> tuple[str | None, str, int]:
-        if isinstance(node.value, str):
-            return node.value, "str", 0
-        return None, "map" if type(node).__name__ == "MappingNode" else "list", len(node.value)
-
-    def emit(path: list[str], shape: tuple, node, start: int, flow: bool, cut: tuple) -> None:
-        listed = type(node).__name__ == "SequenceNode" and shape[1] == "list"
-        items = [
-            dict(zip(ITEM, (*kind_of(x), x.start_mark.index, max(end_of(x), x.start_mark.index))))
-            for x in (node.value if listed else [])
-        ]
-        column = start - (text.rfind("\n", 0, start) + 1)
-        flow = flow or bool(getattr(node, "flow_style", False))
-        out.append((path, path[-1], *shape, start, max(end_of(node), start), column, flow, items, *cut))
-
-    def visit(node, path: list[str], flow: bool, open_: frozenset) -> None:
-        if id(node) in open_:  # an alias inside itself
-            return
-        open_ = open_ | {id(node)}
-        begin, finish = node.start_mark.index, end_of(node)
-        tag = re.match(r"!(\w+)\s*", text[begin:finish]) if node.tag.startswith("!") else None
-        if tag:
-            # shorthand: the value becomes the only entry of a map named after the tag
-            path = [*path, tag.group(1)]
-            emit(path, untagged(node), node, begin + tag.end(), flow, (begin, finish, "{}"))
-        inner = flow or bool(getattr(node, "flow_style", False))
-        if type(node).__name__ == "MappingNode":
-            entries = [(k, v) for k, v in node.value if isinstance(k.value, str)]
-            for i, (k, v) in enumerate(entries):
-                v_start, v_end = v.start_mark.index, max(end_of(v), v.start_mark.index)
-                if len(entries) == 1:
-                    cut = (begin + (tag.end() if tag else 0), finish, "{}")
-                elif node.flow_style and i + 1 < len(entries):
-                    cut = (k.start_mark.index, entries[i + 1][0].start_mark.index, "")
-                elif node.flow_style:
-                    cut = (end_of(entries[i - 1][1]), v_end, "")
-                else:
+    open_: set[int] = set()  # nodes being visited: an alias inside itself is not followed
+
+    def shape(node) -> tuple[str | None, str, int]:
+        value = node.value
+        if isinstance(value, str):
+            kind = node.tag[18:]  # after "tag:yaml.org,2002:"
+            return value, kind if kind in ("int", "float", "bool", "null") else "str", 0
+        return None, "map" if node.id == "mapping" else "list", len(value)
+
+    def inside(node, path: list[str], flow: bool, start: int) -> tuple[int, list[tuple]]:
+        """Emit what lies below a node; its end in the source and, for a list, its elements."""
+        end = node.end_mark.index
+        value = node.value
+        if isinstance(value, str):
+            if node.style in ("|", ">"):
+                end = start + len(text[start:end].rstrip())
+            return end, []
+        if id(node) in open_ or not value:
+            return end, []
+        open_.add(id(node))
+        block = node.flow_style is False
+        flow = flow or not block
+        items: list[tuple] = []
+        last = start
+        if node.id == "mapping":
+            for i, (k, v) in enumerate(value):
+                name = k.value if isinstance(k.value, str) else "?"
+                here = [*path, name]
+                at, v_start = len(out), v.start_mark.index
+                out.append(())
+                v_end, v_items = entry(v, here, flow)
+                if len(value) == 1:
+                    cut = (start, v_end if block else end, "{}")
+                elif block:
                     after = text.find("\n", v_end)
-                    line = text.rfind("\n", 0, k.start_mark.index) + 1
-                    cut = (line, len(text) if after < 0 else after + 1, "")
-                shape = (None, "map", 1) if v.tag.startswith("!") else kind_of(v)
-                emit([*path, k.value], shape, v, v_start, inner, cut)
-                visit(v, [*path, k.value], inner, open_)
-        elif type(node).__name__ == "SequenceNode":
-            for i, item in enumerate(node.value):
-                visit(item, [*path, str(i)], inner, open_)
+                    k_start = k.start_mark.index
+                    cut = (k_start - k.start_mark.column, len(text) if after < 0 else after + 1, "")
+                elif i + 1 < len(value):
+                    cut = (k.start_mark.index, value[i + 1][0].start_mark.index, "")
+                else:
+                    cut = (last, v_end, "")
+                tagged = v.tag[0] == "!"
+                what = (None, "map", 1) if tagged else shape(v)
+                inner = flow or getattr(v, "flow_style", None) is True
+                listed = [] if tagged else v_items
+                out[at] = (here, name, *what, v_start, v_end, v.start_mark.column, inner, listed, *cut)
+                last = v_end
+        else:
+            for i, item in enumerate(value):
+                last, _ = entry(item, [*path, str(i)], flow)
+                what = (None, "map", 1) if item.tag[0] == "!" and not isinstance(item.value, str) else shape(item)
+                items.append((*what, item.start_mark.index, last))
+        open_.discard(id(node))
+        return (last if block else end), items
+
+    def entry(node, path: list[str], flow: bool) -> tuple[int, list[tuple]]:
+        begin = node.start_mark.index
+        tag = SHORTHAND.match(text, begin) if node.tag[0] == "!" else None
+        if tag is None:
+            return inside(node, path, flow, begin)
+        # shorthand: the value becomes the only entry of a map named after the tag
+        name, start = tag.group(1), tag.end()
+        here, at = [*path, name], len(out)
+        out.append(())
+        end, items = inside(node, here, flow, start)
+        end = max(end, start)
+        what = (node.value, "str", 0) if isinstance(node.value, str) else shape(node)
+        column = node.start_mark.column + start - begin if "\n" not in tag.group() else start - text.rfind("\n", 0, start) - 1
+        inner = flow or getattr(node, "flow_style", None) is True
+        out[at] = (here, name, *what, start, end, column, inner, items, begin, end, "{}")
+        return end, items
 
     root = _compose(text)
-    if type(root).__name__ == "MappingNode":
-        visit(root, [], False, frozenset())
+    if root is not None and root.id == "mapping":
+        inside(root, [], False, root.start_mark.index)
     return out
 
 
@@ -113,14 +126,11 @@ def with_nodes(configs: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_type = to_arrow_type(_parse_datatype_string(f"array<{NODE_TYPE}>"))
-    names = [f.name for f in arrow_type.value_type]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                [dict(zip(names, row)) for row in _rows(t)] if t else []
-                for t in batch.column(batch.schema.get_field_index("text")).to_pylist()
-            ]
+        for batch in (b.slice(i, PARSE_ROWS) for b in batches for i in range(0, b.num_rows, PARSE_ROWS)):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            found = [_rows(t) if t else [] for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, arrow_type)], [*batch.schema.names, "nodes"]
             )
