@@ -47,7 +47,8 @@ def split_cuts(records: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.
     boundary; only the hashes of those two buckets are ranked.
     """
     distinct = records.select("gold_hash").distinct()
-    bucketed = distinct.withColumn("bucket", F.substring("gold_hash", 1, 4))
+    # the filter is the one the join below implies; said here, both uses share one exchange
+    bucketed = distinct.withColumn("bucket", F.substring("gold_hash", 1, 4)).filter(F.col("bucket").isNotNull())
     counts = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
     # both windows see one row per bucket, at most 65,536
     upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)

@@ -165,23 +165,30 @@ def attributes(text: Column, block: Column) -> Column:
     """array<struct<name,line,start,text>> of the block's own assignments (brace depth <= 1)."""
 
     def step(a: Column, line: Column) -> Column:
-        def inner(s: Column) -> Column:
-            depth = a["depth"] + (
-                (F.length(s) - F.length(F.replace(s, F.lit("{"), F.lit(""))))
-                - (F.length(s) - F.length(F.replace(s, F.lit("}"), F.lit(""))))
-            )
-            name = F.regexp_extract(s, ASSIGNMENT, 1)
-            found = F.array(
-                F.struct(name.alias("name"), a["line"].alias("line"), a["at"].alias("start"), line.alias("text"))
-            )
-            return F.struct(
-                depth.alias("depth"),
-                (a["at"] + F.length(line) + 1).alias("at"),
-                (a["line"] + 1).alias("line"),
-                F.when((depth <= 1) & (name != ""), F.concat(a["out"], found)).otherwise(a["out"]).alias("out"),
+        # most lines have no brace and many no "=": native tests keep the costlier steps off them
+        count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        change = F.when(line.contains("{") | line.contains("}"), count("{") - count("}")).otherwise(0)
+
+        def inner(depth: Column) -> Column:
+            return let(
+                F.when((depth <= 1) & line.contains("="), F.regexp_extract(strip(line), ASSIGNMENT, 1)).otherwise(""),
+                lambda name: F.struct(
+                    depth.alias("depth"),
+                    (a["at"] + F.length(line) + 1).alias("at"),
+                    (a["line"] + 1).alias("line"),
+                    F.when(
+                        name != "",
+                        F.concat(
+                            a["out"],
+                            F.array(
+                                F.struct(name.alias("name"), a["line"].alias("line"), a["at"].alias("start"), line.alias("text"))
+                            ),
+                        ),
+                    ).otherwise(a["out"]).alias("out"),
+                ),
             )
 
-        return let(strip(line), inner)
+        return let(a["depth"] + change, inner)
 
     return F.aggregate(
         F.split(code_point_slice(text, block["start"], block["end"]), "\n", -1),
