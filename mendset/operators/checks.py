@@ -114,14 +114,18 @@ def _cyclic(edges: Column) -> Column:
     """Does array<struct<src,dst>> hold a cycle? Edges to nodes without a way out are dropped until
     nothing changes; what is left leads in circles."""
 
-    def trim(e: Column, _: Column) -> Column:
-        return let(
+    def trim(state: Column, _: Column) -> Column:
+        e = state["edges"]
+        kept = let(
             F.transform(e, lambda x: x["src"]),
             lambda sources: F.filter(e, lambda x: F.array_contains(sources, x["dst"])),
         )
+        shrunk = let(kept, lambda k: F.struct(k.alias("edges"), (F.size(k) == F.size(e)).alias("stable")))
+        return F.when(state["stable"], state).otherwise(shrunk)
 
     rounds = F.sequence(F.lit(1), F.greatest(F.size(edges), F.lit(1)))
-    return F.size(F.aggregate(rounds, edges, trim)) > 0
+    start = F.struct(edges.alias("edges"), (F.size(edges) == 0).alias("stable"))
+    return F.size(F.aggregate(rounds, start, trim, lambda s: s["edges"])) > 0
 
 
 def cycle(text: Column, blocks: Column) -> Column:

@@ -225,13 +225,11 @@ def invalid_json_template(d: Document) -> Column:
 
 @fault("SYNTACTIC.wrong_property_type")
 def wrong_property_type(d: Document) -> Column:
-    def plain_map(n):
-        child = lambda c: (
-            (F.size(c["path"]) == F.size(n["path"]) + 1)
-            & (F.slice(c["path"], 1, F.size(n["path"])) == n["path"])
-            & (c["key"].startswith("Fn::") | (c["key"] == "Ref"))
-        )
-        return (n["kind"] == "map") & ~F.exists(d.nodes, child)
+    # properties whose map is an intrinsic call
+    calls = F.transform(
+        F.filter(d.nodes, lambda c: (F.size(c["path"]) == 5) & (c["key"].startswith("Fn::") | (c["key"] == "Ref"))),
+        lambda c: F.array_join(F.slice(c["path"], 1, 4), "\n"),
+    )
 
     def build(n):
         is_list = n["kind"] == "list"
@@ -248,7 +246,11 @@ def wrong_property_type(d: Document) -> Column:
             ),
         )
 
-    return _first(_properties(d), lambda n: (n["kind"] == "list") | plain_map(n), build)
+    def found(c: Column) -> Column:
+        plain_map = lambda n: (n["kind"] == "map") & ~F.array_contains(c, F.array_join(n["path"], "\n"))
+        return _first(_properties(d), lambda n: (n["kind"] == "list") | plain_map(n), build)
+
+    return let(calls, found)
 
 
 @fault("SYNTACTIC.missing_required_property")

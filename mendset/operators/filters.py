@@ -82,8 +82,10 @@ def soft_cap(rows: DataFrame, query: str, cap: int) -> DataFrame:
     """Rows of the queries taken, in order, until `cap` rows are reached; the last one stays whole.
 
     Each query present has at least one row, so only the first `cap` of them can be taken; the
-    running sum therefore sees at most `cap` rows, and so does the broadcast.
+    running sum therefore sees at most `cap` rows, and so does the broadcast. The first query is
+    always taken.
     """
+    cap = max(cap, 1)
     counts = rows.groupBy(query).agg(F.count("*").alias("rows")).orderBy(query).limit(cap)
     before = F.sum("rows").over(Window.orderBy(query).rowsBetween(Window.unboundedPreceding, -1))
     taken = counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < cap)

@@ -49,16 +49,27 @@ def prepare(configs: DataFrame, family: str) -> DataFrame:
 
 
 def edits_of(
-    configs: DataFrame, family: str, faults: list[str] | None = None, seed: int = 42, salt: str = ""
+    configs: DataFrame,
+    family: str,
+    faults: list[str] | None = None,
+    seed: int = 42,
+    salt: str = "",
+    variants: int | None = None,
 ) -> DataFrame:
     """One row per applicable fault of each config, with the broken text.
 
-    A fault without a target yields no row, and so does an edit that changes nothing.
+    A fault without a target yields no row, and so does an edit that changes nothing. With
+    `variants`, each config tries only so many of the faults, a run of the list that starts at a
+    place drawn for the config, so that a corpus still sees all of them.
     """
     names = faults if faults is not None else (HCL_FAULTS if family == "hcl" else TEMPLATE_FAULTS)
     document = Document(seed, salt)
     columns = [F.col(c) for c in configs.columns]
-    edits = F.array(*[_edit_column(n, document) for n in names]).cast(f"array<{EDIT_TYPE}>")
+    made = [_edit_column(n, document) for n in names]
+    if variants is not None:
+        first = document.draw("rotation") % len(names)
+        made = [F.when((F.lit(i + len(names)) - first) % len(names) < variants, e) for i, e in enumerate(made)]
+    edits = F.array(*made).cast(f"array<{EDIT_TYPE}>")
     built = prepare(configs, family).select(*columns, edits.alias("edits"))
     applied = F.filter(
         F.transform(F.filter("edits", lambda e: e.isNotNull()), lambda e: _applied(F.col("text"), e)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +122,16 @@ def stratified_faults(faults: DataFrame, n: int) -> DataFrame:
     )
 
 
+def stratified_ids(fmt: str, n: int) -> list[str]:
+    """The same choice as plain ids, for naming the faults to inject."""
+    groups: dict[str, list[str]] = {}
+    for category, name, _, formats, *_rest in FAULTS:
+        if fmt in formats:
+            groups.setdefault(category, []).append(f"{category}.{name}")
+    rounds = zip_longest(*groups.values())
+    return [i for one in rounds for i in one if i is not None][:n]
+
+
 def agentic_targets(configs: DataFrame, selected: DataFrame, n_agent: int) -> DataFrame:
     """Per config, the first selected fault of each of up to n distinct categories."""
     group = Window.partitionBy("format", "category")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mendset.operators import curation, evaluation, export, filters, records, synth, validation
 from mendset.operators import taxonomy as tax
-from mendset.operators.inject import inject
+from mendset.operators.inject import edits_of, inject
 from mendset.sources import corpus
 from mendset.sources.rendered import configs
 
@@ -63,10 +63,10 @@ def test_caps(spark, cap):
     rows = spark.createDataFrame(flat, "q int, seq int")
     want, seen = [], 0
     for q, n in sizes.items():
-        if seen >= cap:
-            break
         want += [x for x in flat if x[0] == q]
         seen += n
+        if seen >= cap:
+            break
     assert sorted(map(tuple, filters.soft_cap(rows, "q", cap).collect())) == want
     assert sorted(map(tuple, filters.hard_cap(rows, "q", "seq", cap).collect())) == want[:cap]
 
@@ -316,3 +316,21 @@ def test_dependency_closure(spark, table):
     )
     for r in rows.collect():
         assert 3 <= r.c <= 7 and r.archetypes == brute_closure(table, r.o, r.c)
+
+
+# ---- choosing faults
+
+
+def test_stratified_ids_match_the_table(spark):
+    rows = tax.stratified_faults(tax.fault_dim(spark), 8).orderBy("turn").collect()
+    for fmt in ("terraform", "opentofu", "cloudformation"):
+        assert tax.stratified_ids(fmt, 8) == [r.fault_id for r in rows if r.format == fmt]
+
+
+def test_rotation_spreads_the_faults(spark, sf):
+    docs = configs(spark, sf).filter("format = 'terraform' and doc_id < 1200")
+    names = tax.stratified_ids("terraform", 19)
+    plain = ["SEMANTIC.invalid_cidr", "SEMANTIC.bad_ami_format", "DEPENDENCY.circular_dependency", "CROSS_RESOURCE.wrong_az_reference"]
+    per_doc = edits_of(docs, "hcl", plain, variants=2).groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set("fault_id").alias("f"))
+    rows = per_doc.collect()
+    assert {r.n for r in rows} == {2} and {f for r in rows for f in r.f} == set(plain) and len(names) == 19
