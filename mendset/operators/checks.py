@@ -358,23 +358,54 @@ def literal_kind(line: Column) -> Column:
     )
 
 
-def type_drift(configs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Attributes written with another kind of literal than most of the corpus uses for them.
+def _against_majority(found: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Rows (doc_id, type, block, attribute, kind) of another kind than most of the corpus has.
 
-    The majority table has one row per (resource type, attribute); counts are combined map-side, so
-    a type that fills a third of the corpus costs nothing extra. Expressions are never judged.
+    The majority table has one row per (type, attribute); counts are combined map-side, so a type
+    that fills a third of the corpus costs nothing extra. Expressions are never judged.
     """
-    kinds = lambda d: attribute_table(d).withColumn("kind", literal_kind(F.col("text")))
-    counts = (
-        kinds(corpus).filter(F.col("kind") != "expression")
-        .groupBy("type", F.col("name").alias("attribute"), "kind").agg(F.count("*").alias("n"))
-    )
-    usual = counts.groupBy("type", "attribute").agg(
-        F.max_by("kind", F.struct("n", "kind")).alias("usual_kind")
-    )
-    found = kinds(configs).filter(F.col("kind") != "expression").withColumnRenamed("name", "attribute")
+    literal = F.col("kind") != "expression"
+    counts = corpus.filter(literal).groupBy("type", "attribute", "kind").agg(F.count("*").alias("n"))
+    usual = counts.groupBy("type", "attribute").agg(F.max_by("kind", F.struct("n", "kind")).alias("usual_kind"))
     return (
-        found.join(usual, ["type", "attribute"])
+        found.filter(literal)
+        .join(usual, ["type", "attribute"])
         .filter(F.col("kind") != F.col("usual_kind"))
         .select("doc_id", "type", "block", "attribute", "kind", "usual_kind")
     )
+
+
+def type_drift(configs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Attributes written with another kind of literal than the corpus mostly uses for them."""
+
+    def kinds(d: DataFrame) -> DataFrame:
+        rows = attribute_table(d).withColumnRenamed("name", "attribute")
+        return rows.withColumn("kind", literal_kind(F.col("text")))
+
+    return _against_majority(kinds(configs), kinds(corpus))
+
+
+def template_type_drift(configs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The same for template properties; both inputs carry `nodes`."""
+
+    def kinds(d: DataFrame) -> DataFrame:
+        in_resource = lambda n, size: (F.size(n["path"]) == size) & (n["path"][0] == "Resources")
+        types = F.filter("nodes", lambda n: in_resource(n, 3) & (n["key"] == "Type"))
+        calls = F.transform(
+            F.filter("nodes", lambda n: in_resource(n, 5) & (n["key"].startswith("Fn::") | (n["key"] == "Ref"))),
+            lambda n: F.array_join(F.slice(n["path"], 1, 4), "\n"),
+        )
+        found = F.filter("nodes", lambda n: in_resource(n, 4) & (n["path"][2] == "Properties"))
+        staged = d.select("doc_id", "text", types.alias("types"), calls.alias("calls"), F.explode(found).alias("p"))
+        tagged = F.substring("text", F.col("p.start") + 1, F.lit(1)) == "!"
+        called = F.array_contains("calls", F.array_join("p.path", "\n"))
+        own = F.get(F.filter("types", lambda t: t["path"][1] == F.col("p.path")[1]), F.lit(0))["value"]
+        return staged.select(
+            "doc_id",
+            own.alias("type"),
+            F.col("p.path")[1].alias("block"),
+            F.col("p.key").alias("attribute"),
+            F.when(tagged | called, "expression").otherwise(F.col("p.kind")).alias("kind"),
+        )
+
+    return _against_majority(kinds(configs), kinds(corpus))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mendset.functions.text import strip
+from mendset.functions.text import fill, strip
 
 # Message and prompt wording.
 SYSTEM_PROMPT = (
@@ -27,15 +27,6 @@ INJECT_PROMPT = (
 )
 
 
-def fill(template: str, *values: Column) -> Column:
-    """The template with its %s slots filled, as one concat."""
-    pieces = template.split("%s")
-    out: list[Column] = [F.lit(pieces[0])]
-    for value, piece in zip(values, pieces[1:], strict=True):
-        out += [value, F.lit(piece)]
-    return F.concat(*out)
-
-
 def _bullets(title: str, items: Column) -> Column:
     lines = F.transform(items, lambda e: F.concat(F.lit("- "), e))
     return F.when(F.size(items) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(lines, "\n")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mendset.functions.draws import pick
-from mendset.functions.text import code_point_slice, first_match, let, strip
+from mendset.functions.text import code_point_slice, fill, first_match, let, strip
 from mendset.operators.edits import Document, edit, fault, first_group_edit, part, text_of
 from mendset.operators.structure_hcl import (
     attributes,
@@ -60,6 +60,45 @@ OPEN_INGRESS = """
     cidr_blocks = ["0.0.0.0/0"]
   }"""
 
+# Patterns of targets; groups are (prefix)(value)(suffix).
+AMI = [r'(ami\s*=\s*")(ami-[0-9a-f]+)(")', r'(image_id\s*=\s*")(ami-[0-9a-f]+)(")']
+CIDR = r'(")(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}/\d{1,2})(")'
+REGION = r'(region\s*=\s*")([\w-]+)(")'
+ZONE = r'(availability_zone\s*=\s*")([\w-]+)(")'
+VERSION = r'(version\s*=\s*")([^"]*)(")'
+NETWORK_IDS = [r"(vpc_id\s*=\s*)(\S+)()", r"(subnet_id\s*=\s*)(\S+)()"]
+SOURCE_LINE = r"(?m)(^[ \t]*source\s*=[^\n]*)"
+SOURCE_VALUE = r'(source\s*=\s*)("[^"]*")()'
+DEPENDS_ON = r"\n[ \t]*depends_on\s*=\s*\[[^\]]*\]"
+NUMBER_VALUE, BOOLEAN_VALUE = r"(=\s*)(\d+)", r"(=\s*)(true|false)"
+EQUALS = r"\s*=\s*"
+
+# What an edit says about itself.
+SAYS = {
+    "brace": "Removed closing brace from resource %s.%s",
+    "number": "Changed numeric value to string for %s",
+    "boolean": "Changed boolean to string for %s",
+    "equals": "Removed equals sign from attribute %s",
+    "required": "Removed required argument '%s' from %s.%s",
+    "argument": "Removed argument '%s' from %s.%s",
+    "variable": "Changed variable reference from %s to %s",
+    "resource": "Misspelled resource reference from %s to %s",
+    "module": "Changed module source to non-existent path",
+    "type": "Changed resource type from %s to %s",
+    "ami": "Corrupted AMI ID from %s to %s",
+    "cidr": "Changed CIDR from %s to %s",
+    "region": "Changed region from %s to %s",
+    "cycle": "Added circular dependency between %s and %s",
+    "depends_on": "Removed depends_on declaration",
+    "terraform": "Removed terraform/required_providers block",
+    "provider": "Removed provider configuration block",
+    "version": "Changed version constraint to impossible range: %s",
+    "ingress": "Added overly permissive ingress rule (0.0.0.0/0 all TCP ports)",
+    "encryption": "Removed %s",
+    "network": "Replaced %s reference with hardcoded invalid ID",
+    "zone": "Changed availability zone from %s to %s",
+}
+
 # Encryption settings in the order they are looked for.
 ENCRYPTION = [
     (r"\n[ \t]*server_side_encryption_configuration\s*\{[^}]*\{[^}]*\}[^}]*\}", "server_side_encryption_configuration block"),
@@ -69,6 +108,10 @@ ENCRYPTION = [
 ]
 
 
+def _says(what: str, *values: Column) -> Column:
+    return fill(SAYS[what], *values)
+
+
 def _place(b: Column) -> Column:
     return text_of('resource "', b["type"], '" "', b["name"], '"')
 
@@ -104,7 +147,7 @@ def missing_closing_brace(d: Document) -> Column:
             code_point_slice(d.text, lo, at + 20),
             F.concat(code_point_slice(d.text, lo, at), code_point_slice(d.text, at + 1, at + 20)),
             _place(b),
-            text_of("Removed closing brace from resource ", b["type"], ".", b["name"]),
+            _says("brace", b["type"], b["name"]),
         )
 
     return _on_block(d, "SYNTACTIC.missing_closing_brace", build)
@@ -112,7 +155,7 @@ def missing_closing_brace(d: Document) -> Column:
 
 @fault("SYNTACTIC.wrong_attribute_type")
 def wrong_attribute_type(d: Document) -> Column:
-    number, boolean = r"(=\s*)(\d+)", r"(=\s*)(true|false)"
+    number, boolean = NUMBER_VALUE, BOOLEAN_VALUE
 
     def build(b):
         typed = F.filter(attributes(d.text, b), lambda a: a["text"].rlike(f"{number}|{boolean}"))
@@ -136,12 +179,7 @@ def wrong_attribute_type(d: Document) -> Column:
                 strip(a["text"]),
                 strip(line),
                 text_of(_place(b), ", attribute ", a["name"]),
-                text_of(
-                    F.when(is_number, F.lit("Changed numeric value to string for ")).otherwise(
-                        F.lit("Changed boolean to string for ")
-                    ),
-                    a["name"],
-                ),
+                F.when(is_number, _says("number", a["name"])).otherwise(_says("boolean", a["name"])),
             )
 
         return let(F.get(typed, F.lit(0)), lambda a: F.when(a.isNotNull(), change(a)))
@@ -155,7 +193,7 @@ def invalid_hcl_syntax(d: Document) -> Column:
 
     def build(b):
         def change(a):
-            cut = F.split(a["text"], r"\s*=\s*", 2)
+            cut = F.split(a["text"], EQUALS, 2)
             start = a["start"] + F.length(cut[0])
             end = a["start"] + F.length(a["text"]) - F.length(cut[1])
             return edit(
@@ -163,7 +201,7 @@ def invalid_hcl_syntax(d: Document) -> Column:
                 strip(a["text"]),
                 strip(F.concat_ws(" ", cut[0], cut[1])),
                 text_of(_place(b), ", line ", (a["line"] + 1).cast("string")),
-                text_of("Removed equals sign from attribute ", a["name"]),
+                _says("equals", a["name"]),
             )
 
         chosen = pick(attributes(d.text, b), d.draw(me, "attribute"))
@@ -201,7 +239,7 @@ def missing_required_argument(d: Document) -> Column:
             strip(a["text"]),
             "(line removed)",
             _place(b),
-            text_of(label, a["name"], "' from ", b["type"], ".", b["name"]),
+            _says(label, a["name"], b["type"], b["name"]),
         )
 
     def build(order):
@@ -210,11 +248,11 @@ def missing_required_argument(d: Document) -> Column:
         first = F.get(order, F.lit(0))["b"]
         fallback = let(
             F.get(attributes(d.text, first), F.lit(0)),
-            lambda a: F.when(a.isNotNull(), change(first, a, "Removed argument '")),
+            lambda a: F.when(a.isNotNull(), change(first, a, "argument")),
         )
         return let(
             hit,
-            lambda h: F.when(h.isNotNull(), change(h["b"], h["a"], "Removed required argument '")).otherwise(fallback),
+            lambda h: F.when(h.isNotNull(), change(h["b"], h["a"], "required")).otherwise(fallback),
         )
 
     return F.when(F.size(d.blocks) > 0, let(shuffled, build))
@@ -232,7 +270,7 @@ def undefined_variable(d: Document) -> Column:
             old,
             new,
             text_of("offset ", r["start"].cast("string")),
-            text_of("Changed variable reference from ", old, " to ", new),
+            _says("variable", old, new),
         )
 
     return let(pick(variable_refs(d.text), d.draw(me)), lambda r: F.when(r.isNotNull(), build(r)))
@@ -250,7 +288,7 @@ def bad_resource_reference(d: Document) -> Column:
             old,
             new,
             text_of("offset ", r["start"].cast("string")),
-            text_of("Misspelled resource reference from ", old, " to ", new),
+            _says("resource", old, new),
         )
 
     return let(pick(resource_refs(d.text), d.draw(me)), lambda r: F.when(r.isNotNull(), build(r)))
@@ -259,13 +297,11 @@ def bad_resource_reference(d: Document) -> Column:
 @fault("REFERENCE.broken_module_source")
 def broken_module_source(d: Document) -> Column:
     me = "REFERENCE.broken_module_source"
-    source = r'(?m)(^[ \t]*source\s*=[^\n]*)'
 
     def build(b):
         body = code_point_slice(d.text, b["start"], b["end"])
 
         def change(m):
-            literal = r'(source\s*=\s*)("[^"]*")()'
             old_line = m["found"]
 
             def swap(start, value, prefix):
@@ -274,14 +310,14 @@ def broken_module_source(d: Document) -> Column:
                 return edit(
                     [part(at, at + F.length(value), f'"{BAD_MODULE}"')],
                     strip(old_line),
-                    strip(F.regexp_replace(old_line, r'(source\s*=\s*)"[^"]*"', f'$1"{BAD_MODULE}"')),
+                    strip(F.regexp_replace(old_line, SOURCE_VALUE, f'$1"{BAD_MODULE}"')),
                     text_of("module block, line ", line.cast("string")),
-                    "Changed module source to non-existent path",
+                    _says("module"),
                 )
 
-            return first_group_edit(old_line, [literal], swap)
+            return first_group_edit(old_line, [SOURCE_VALUE], swap)
 
-        return let(first_match(body, source), lambda m: F.when(m.isNotNull(), change(m)))
+        return let(first_match(body, SOURCE_LINE), lambda m: F.when(m.isNotNull(), change(m)))
 
     return let(
         pick(block_spans(d.text, "module"), d.draw(me)), lambda b: F.when(b.isNotNull(), build(b))
@@ -301,7 +337,7 @@ def invalid_resource_type(d: Document) -> Column:
             text_of('resource "', b["type"], '"'),
             text_of('resource "', new, '"'),
             _place(b),
-            text_of("Changed resource type from ", b["type"], " to ", new),
+            _says("type", b["type"], new),
         )
 
     return _on_block(d, "SEMANTIC.invalid_resource_type", build)
@@ -315,11 +351,10 @@ def bad_ami_format(d: Document) -> Column:
             value,
             BAD_AMI,
             text_of("AMI ID at offset ", start.cast("string")),
-            text_of("Corrupted AMI ID from ", value, " to ", BAD_AMI),
+            _says("ami", value, F.lit(BAD_AMI)),
         )
 
-    patterns = [r'(ami\s*=\s*")(ami-[0-9a-f]+)(")', r'(image_id\s*=\s*")(ami-[0-9a-f]+)(")']
-    return first_group_edit(d.text, patterns, build)
+    return first_group_edit(d.text, AMI, build)
 
 
 @fault("SEMANTIC.invalid_cidr")
@@ -330,12 +365,10 @@ def invalid_cidr(d: Document) -> Column:
             value,
             BAD_CIDR,
             text_of("CIDR block at offset ", start.cast("string")),
-            text_of("Changed CIDR from ", value, " to ", BAD_CIDR),
+            _says("cidr", value, F.lit(BAD_CIDR)),
         )
 
-    return first_group_edit(
-        d.text, [r'(")(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}/\d{1,2})(")'], build
-    )
+    return first_group_edit(d.text, [CIDR], build)
 
 
 @fault("SEMANTIC.invalid_region")
@@ -346,10 +379,10 @@ def invalid_region(d: Document) -> Column:
             value,
             BAD_REGION,
             text_of("region at offset ", start.cast("string")),
-            text_of("Changed region from ", value, " to ", BAD_REGION),
+            _says("region", value, F.lit(BAD_REGION)),
         )
 
-    return first_group_edit(d.text, [r'(region\s*=\s*")([\w-]+)(")'], build)
+    return first_group_edit(d.text, [REGION], build)
 
 
 @fault("DEPENDENCY.circular_dependency")
@@ -365,7 +398,7 @@ def circular_dependency(d: Document) -> Column:
             "(no depends_on)",
             text_of(to_b, "\n", to_a),
             text_of(a["type"], ".", a["name"], " <-> ", b["type"], ".", b["name"]),
-            text_of("Added circular dependency between ", a["name"], " and ", b["name"]),
+            _says("cycle", a["name"], b["name"]),
         )
 
     return F.when(F.size(d.blocks) >= 2, build(F.get(d.blocks, F.lit(0)), F.get(d.blocks, F.lit(1))))
@@ -379,16 +412,16 @@ def missing_depends_on(d: Document) -> Column:
             strip(m["found"]),
             "(removed)",
             text_of("offset ", m["start"].cast("string")),
-            "Removed depends_on declaration",
+            _says("depends_on"),
         )
 
-    hit = first_match(d.text, r"\n[ \t]*depends_on\s*=\s*\[[^\]]*\]")
+    hit = first_match(d.text, DEPENDS_ON)
     return let(hit, lambda m: F.when(m.isNotNull(), build(m)))
 
 
 @fault("PROVIDER.missing_provider")
 def missing_provider(d: Document) -> Column:
-    def remove(kind: str, description: str) -> Column:
+    def remove(kind: str) -> Column:
         def build(b):
             body = code_point_slice(d.text, b["start"], b["end"])
             return edit(
@@ -396,16 +429,13 @@ def missing_provider(d: Document) -> Column:
                 F.when(F.length(body) > 80, text_of(F.left(body, F.lit(80)), "...")).otherwise(body),
                 "(block removed)",
                 f"{kind} block",
-                description,
+                _says(kind),
             )
 
         first = F.get(block_spans(d.text, kind), F.lit(0))
         return let(first, lambda b: F.when(b.isNotNull(), build(b)))
 
-    return F.coalesce(
-        remove("terraform", "Removed terraform/required_providers block"),
-        remove("provider", "Removed provider configuration block"),
-    )
+    return F.coalesce(remove("terraform"), remove("provider"))
 
 
 @fault("PROVIDER.version_constraint_mismatch")
@@ -416,11 +446,11 @@ def version_constraint_mismatch(d: Document) -> Column:
             value,
             BAD_VERSION,
             text_of("version constraint at offset ", start.cast("string")),
-            f"Changed version constraint to impossible range: {BAD_VERSION}",
+            _says("version", F.lit(BAD_VERSION)),
         )
 
     # the pattern is not anchored, so it also finds required_version
-    return first_group_edit(d.text, [r'(version\s*=\s*")([^"]*)(")'], build)
+    return first_group_edit(d.text, [VERSION], build)
 
 
 @fault("SECURITY.overly_permissive_security_group")
@@ -431,7 +461,7 @@ def overly_permissive_security_group(d: Document) -> Column:
             "(security group without open ingress)",
             OPEN_INGRESS.strip(),
             text_of('resource "aws_security_group" "', b["name"], '"'),
-            "Added overly permissive ingress rule (0.0.0.0/0 all TCP ports)",
+            _says("ingress"),
         )
 
     groups = F.filter(d.blocks, lambda b: b["type"] == "aws_security_group")
@@ -447,7 +477,7 @@ def missing_encryption(d: Document) -> Column:
                 F.left(strip(m["found"]), F.lit(80)),
                 "(removed)",
                 "encryption config",
-                f"Removed {what}",
+                _says("encryption", F.lit(what)),
             )
 
         return let(first_match(d.text, pattern), lambda m: F.when(m.isNotNull(), build(m)))
@@ -464,10 +494,10 @@ def subnet_vpc_mismatch(d: Document) -> Column:
             F.concat(prefix, value),
             F.concat(prefix, fake),
             text_of("offset ", start.cast("string")),
-            text_of("Replaced ", strip(prefix), " reference with hardcoded invalid ID"),
+            _says("network", strip(prefix)),
         )
 
-    return first_group_edit(d.text, [r"(vpc_id\s*=\s*)(\S+)()", r"(subnet_id\s*=\s*)(\S+)()"], build)
+    return first_group_edit(d.text, NETWORK_IDS, build)
 
 
 @fault("CROSS_RESOURCE.wrong_az_reference")
@@ -481,7 +511,7 @@ def wrong_az_reference(d: Document) -> Column:
             value,
             zone,
             text_of("availability_zone at offset ", start.cast("string")),
-            text_of("Changed availability zone from ", value, " to ", zone),
+            _says("zone", value, zone),
         )
 
-    return first_group_edit(d.text, [r'(availability_zone\s*=\s*")([\w-]+)(")'], build)
+    return first_group_edit(d.text, [ZONE], build)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mendset.functions.draws import pick
-from mendset.functions.text import WHITESPACE, code_point_slice, let, strip
+from mendset.functions.text import WHITESPACE, code_point_slice, fill, let, strip
 from mendset.operators.edits import Document, edit, fault, part, text_of
 from mendset.operators.structure_template import intrinsic, section_names
 
@@ -67,10 +67,40 @@ ENCRYPTION_PROPERTIES = {
     "AWS::DynamoDB::Table": ["SSESpecification"],
 }
 
+# Replacements, the added rule, and what an edit says about itself.
 BAD_AMI = "INVALID-ami-format"
+BAD_CONDITION = "NonExistentCondition"
+BAD_JOIN = "invalid-join-not-a-list"
+OPEN_SUB = " ${UndefinedVar"
+SAYS = {
+    "tab": "Inserted tab character in YAML indentation",
+    "comma": "Added trailing comma to create invalid JSON",
+    "list": "Changed list property %s to string",
+    "map": "Changed dict property %s to string",
+    "required": "Removed required property '%s' from %s",
+    "property": "Removed property '%s' from %s",
+    "ref": "Changed Ref target from %s to %s",
+    "getatt": "Corrupted GetAtt resource reference",
+    "parameter": "Removed parameter '%s' that is referenced in Resources",
+    "type": "Changed resource type from %s to %s",
+    "value": "Changed %s to invalid value '%s'",
+    "ami": "Corrupted AMI ID from %s to %s",
+    "cycle": "Created circular DependsOn between %s and %s",
+    "depends_on": "Removed DependsOn from %s",
+    "sub": "Added unclosed variable reference in !Sub",
+    "select": "Set !Select index to 999 (out of bounds)",
+    "if": "Changed !If condition from '%s' to '%s'",
+    "join": "Changed !Join value to invalid string (should be [delimiter, list])",
+    "ingress": "Added overly permissive ingress rule to %s",
+    "encryption": "Removed encryption property '%s' from %s",
+}
 OPEN_RULE = [("IpProtocol", "tcp"), ("FromPort", "0"), ("ToPort", "65535"), ("CidrIp", "0.0.0.0/0")]
 
 
+def _says(what: str, *values: Column) -> Column:
+    return fill(SAYS[what], *values)
+
+
 def is_json(d: Document) -> Column:
     return strip(d.text).startswith("{")
 
@@ -157,7 +187,7 @@ def _listed_property(d: Document, table: dict[str, list[str]]) -> Column:
     )
 
 
-def _line_fault(d: Document, fault_id: str, keep, change, description: str) -> Column:
+def _line_fault(d: Document, fault_id: str, keep, change, description: Column) -> Column:
     """Draw one line among those kept and rewrite it."""
 
     def with_offsets(lines: Column) -> Column:
@@ -205,7 +235,7 @@ def invalid_yaml(d: Document) -> Column:
 
     keep = lambda x: x.contains(":") & ~strip(x).startswith("#")
     found = _line_fault(
-        d, "SYNTACTIC.invalid_yaml", keep, change, "Inserted tab character in YAML indentation"
+        d, "SYNTACTIC.invalid_yaml", keep, change, _says("tab")
     )
     return F.when(~is_json(d), found)
 
@@ -218,7 +248,7 @@ def invalid_json_template(d: Document) -> Column:
 
     keep = lambda x: F.right(F.rtrim(x, F.lit(WHITESPACE)), F.lit(1)).isin("}", '"')
     found = _line_fault(
-        d, "SYNTACTIC.invalid_json_template", keep, change, "Added trailing comma to create invalid JSON"
+        d, "SYNTACTIC.invalid_json_template", keep, change, _says("comma")
     )
     return F.when(is_json(d), found)
 
@@ -239,11 +269,7 @@ def wrong_property_type(d: Document) -> Column:
             text_of(n["key"], ": ", F.left(_source(d, n), F.lit(60))),
             text_of(n["key"], ': "', bad, '"'),
             _dotted(n),
-            text_of(
-                F.when(is_list, F.lit("Changed list property ")).otherwise(F.lit("Changed dict property ")),
-                n["key"],
-                " to string",
-            ),
+            F.when(is_list, _says("list", n["key"])).otherwise(_says("map", n["key"])),
         )
 
     def found(c: Column) -> Column:
@@ -268,15 +294,13 @@ def missing_required_property(d: Document) -> Column:
         own_type = F.get(
             F.filter(_resource_keys(d, "Type"), lambda t: t["path"][1] == n["path"][1]), F.lit(0)
         )["value"]
-        return build(
-            n, text_of("Removed property '", n["key"], "' from ", F.coalesce(own_type, F.lit("unknown")))
-        )
+        return build(n, _says("property", n["key"], F.coalesce(own_type, F.lit("unknown"))))
 
     return let(
         _listed_property(d, REQUIRED_PROPERTIES),
         lambda h: F.when(
             h.isNotNull(),
-            build(h["node"], text_of("Removed required property '", h["node"]["key"], "' from ", h["type"])),
+            build(h["node"], _says("required", h["node"]["key"], h["type"])),
         ).otherwise(_first(_properties(d), lambda n: F.lit(True), fallback)),
     )
 
@@ -292,7 +316,7 @@ def broken_ref(d: Document) -> Column:
             text_of("Ref: ", n["value"]),
             text_of("Ref: ", bad),
             _dotted(n),
-            text_of("Changed Ref target from ", n["value"], " to ", bad),
+            _says("ref", n["value"], bad),
         )
 
     known = F.concat(section_names(d.nodes, "Resources"), section_names(d.nodes, "Parameters"))
@@ -322,7 +346,7 @@ def bad_getatt(d: Document) -> Column:
                 text_of("GetAtt: ", _source(d, n)),
                 text_of("GetAtt: ", bad),
                 _dotted(n),
-                "Corrupted GetAtt resource reference",
+                _says("getatt"),
             ),
         )
 
@@ -348,7 +372,7 @@ def undefined_parameter(d: Document) -> Column:
                 text_of("Parameter: ", ref["value"]),
                 "(parameter removed)",
                 text_of("Parameters.", ref["value"]),
-                text_of("Removed parameter '", ref["value"], "' that is referenced in Resources"),
+                _says("parameter", ref["value"]),
             ),
         )
 
@@ -370,7 +394,7 @@ def cf_invalid_resource_type(d: Document) -> Column:
                 text_of("Type: ", n["value"]),
                 text_of("Type: ", bad),
                 _dotted(n),
-                text_of("Changed resource type from ", n["value"], " to ", bad),
+                _says("type", n["value"], bad),
             ),
         )
 
@@ -389,7 +413,7 @@ def wrong_property_value(d: Document) -> Column:
             text_of(n["key"], ": ", n["value"]),
             text_of(n["key"], ": ", bad),
             _dotted(n),
-            text_of("Changed ", n["key"], " to invalid value '", bad, "'"),
+            _says("value", n["key"], bad),
         )
 
     # first resource with a hit; inside it the order of the value table decides
@@ -418,7 +442,7 @@ def cf_bad_ami(d: Document) -> Column:
             text_of("ImageId: ", n["value"]),
             text_of("ImageId: ", BAD_AMI),
             _dotted(n),
-            text_of("Corrupted AMI ID from ", n["value"], " to ", BAD_AMI),
+            _says("ami", n["value"], F.lit(BAD_AMI)),
         )
 
     return _first(_properties(d), lambda n: (n["key"] == "ImageId") & (n["kind"] == "str"), build)
@@ -456,7 +480,7 @@ def circular_depends_on(d: Document) -> Column:
             "(no circular dependency)",
             text_of(a["key"], " -> ", b["key"], " -> ", a["key"]),
             text_of("Resources.", a["key"], " <-> Resources.", b["key"]),
-            text_of("Created circular DependsOn between ", a["key"], " and ", b["key"]),
+            _says("cycle", a["key"], b["key"]),
         )
 
     return let(
@@ -473,7 +497,7 @@ def missing_dependency(d: Document) -> Column:
             text_of("DependsOn: ", _source(d, n)),
             "(DependsOn removed)",
             _dotted(n),
-            text_of("Removed DependsOn from ", n["path"][1]),
+            _says("depends_on", n["path"][1]),
         )
 
     return _first(_resource_keys(d, "DependsOn"), lambda n: F.lit(True), build)
@@ -482,7 +506,7 @@ def missing_dependency(d: Document) -> Column:
 @fault("INTRINSIC.malformed_sub")
 def malformed_sub(d: Document) -> Column:
     me = "INTRINSIC.malformed_sub"
-    tail = " ${UndefinedVar"
+    tail = OPEN_SUB
 
     def build(n):
         text_form = n["kind"] == "str"
@@ -508,7 +532,7 @@ def malformed_sub(d: Document) -> Column:
                 text_of("Sub: ", F.left(value, F.lit(60))),
                 text_of("Sub: ", F.left(text_of(value, tail), F.lit(60))),
                 _dotted(n),
-                "Added unclosed variable reference in !Sub",
+                _says("sub"),
             )
 
         return F.when(text_form | list_form, let(at, insert))
@@ -529,7 +553,7 @@ def wrong_select_index(d: Document) -> Column:
                 text_of("Select: [", F.coalesce(index["value"], _source(d, index)), ", ...]"),
                 "Select: [999, ...]",
                 _dotted(n),
-                "Set !Select index to 999 (out of bounds)",
+                _says("select"),
             ),
         )
 
@@ -548,11 +572,11 @@ def bad_if_condition(d: Document) -> Column:
         return F.when(
             (n["kind"] == "list") & (n["size"] >= 1),
             edit(
-                [_replace(d, name, "NonExistentCondition")],
+                [_replace(d, name, BAD_CONDITION)],
                 text_of("If: [", old, ", ...]"),
-                "If: [NonExistentCondition, ...]",
+                f"If: [{BAD_CONDITION}, ...]",
                 _dotted(n),
-                text_of("Changed !If condition from '", old, "' to 'NonExistentCondition'"),
+                _says("if", old, F.lit(BAD_CONDITION)),
             ),
         )
 
@@ -562,7 +586,7 @@ def bad_if_condition(d: Document) -> Column:
 @fault("INTRINSIC.invalid_join")
 def invalid_join(d: Document) -> Column:
     me = "INTRINSIC.invalid_join"
-    bad = "invalid-join-not-a-list"
+    bad = BAD_JOIN
 
     def build(n):
         return edit(
@@ -570,7 +594,7 @@ def invalid_join(d: Document) -> Column:
             text_of("Join: ", F.left(_source(d, n), F.lit(60))),
             f'Join: "{bad}"',
             _dotted(n),
-            "Changed !Join value to invalid string (should be [delimiter, list])",
+            _says("join"),
         )
 
     return let(pick(intrinsic(d.nodes, "Join"), d.draw(me)), lambda n: F.when(n.isNotNull(), build(n)))
@@ -614,7 +638,7 @@ def open_ingress(d: Document) -> Column:
                 "(restricted ingress)",
                 "CidrIp: 0.0.0.0/0, Ports: 0-65535",
                 text_of("Resources.", group["path"][1], ".Properties.SecurityGroupIngress"),
-                text_of("Added overly permissive ingress rule to ", group["path"][1]),
+                _says("ingress", group["path"][1]),
             ),
         )
 
@@ -630,7 +654,7 @@ def cf_missing_encryption(d: Document) -> Column:
             text_of(n["key"], ": ", F.left(_source(d, n), F.lit(60))),
             "(property removed)",
             _dotted(n),
-            text_of("Removed encryption property '", n["key"], "' from ", h["type"]),
+            _says("encryption", n["key"], h["type"]),
         )
 
     return let(

@@ -267,6 +267,34 @@ def chk_type_drift(spark, sf_dir):
     return checks.type_drift(gold.withColumn("text", slip), gold)
 
 
+_TYPED = r"CASE WHEN starts_with(text, '{') THEN regexp_extract_all(text, '(?m)^    \"(\w+)\": \{\n      \"Type\": \"AWS::EC2::Instance', 1) ELSE regexp_extract_all(text, '(?m)^  (\w+):\n    Type: AWS::EC2::Instance', 1) END"
+
+
+@query(
+    "chk_unknown_type_template",
+    f"WITH {TPL} SELECT doc_id, 'AWS::EC2::Instence' AS type, unnest({_TYPED}) AS name FROM tpl WHERE doc_id % 6 = 0",
+)
+def chk_unknown_type_template(spark, sf_dir):
+    gold = template_configs(spark, sf_dir).select("doc_id", "text")
+    slip = F.expr("CASE WHEN doc_id % 6 = 0 THEN replace(text, 'EC2::Instance', 'EC2::Instence') ELSE text END")
+    found = checks.unknown_types(
+        checks.template_type_table(prepare(gold.withColumn("text", slip), "template")),
+        checks.template_type_table(prepare(gold, "template")),
+    )
+    return found.select("doc_id", "type", "name")
+
+
+@query(
+    "chk_type_drift_template",
+    f"""WITH {TPL}, b AS (SELECT * FROM (VALUES ('Network', 'AWS::EC2::VPC'), ('Subnet', 'AWS::EC2::Subnet')) t(block, type))
+SELECT doc_id, type, block, 'CidrBlock' AS attribute, 'int' AS kind, 'str' AS usual_kind FROM tpl CROSS JOIN b WHERE doc_id % 10 = 0 AND NOT starts_with(text, '{{')""",
+)
+def chk_type_drift_template(spark, sf_dir):
+    gold = template_configs(spark, sf_dir).select("doc_id", "text")
+    slip = F.expr("CASE WHEN doc_id % 10 = 0 THEN replace(text, 'CidrBlock: 10.', 'CidrBlock: 10 # ') ELSE text END")
+    return checks.template_type_drift(prepare(gold.withColumn("text", slip), "template"), prepare(gold, "template"))
+
+
 @query(
     "chk_literals",
     f"""WITH {HCL} SELECT doc_id, 'E008' AS code, 'Unknown region us-nowhere-' || regexp_extract(text, 'us-east-([12])"', 1) AS message FROM hcl WHERE doc_id % 4 = 0 AND contains(text, 'region = "')
