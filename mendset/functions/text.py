@@ -43,9 +43,15 @@ def split_lines(c: Column) -> Column:
     )
 
 
+RARE_BREAK = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+BREAK_CHARS = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+
+
 def line_count(c: Column) -> Column:
-    breaks = F.regexp_count(c, F.lit(LINE_BREAK))
-    open_tail = (F.length(c) > 0) & ~c.rlike(f"(?:{LINE_BREAK})\\z")
+    # most texts break lines with \n only, which counts without a regex
+    plain = F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    breaks = F.when(c.rlike(RARE_BREAK), F.regexp_count(c, F.lit(LINE_BREAK))).otherwise(plain)
+    open_tail = (F.length(c) > 0) & ~F.right(c, F.lit(1)).isin(*BREAK_CHARS)
     return breaks + F.when(open_tail, 1).otherwise(0)
 
 
