@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,14 +45,14 @@ def split_lines(c: Column) -> Column:
     )
 
 
-RARE_BREAK = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 BREAK_CHARS = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 
 
 def line_count(c: Column) -> Column:
     # most texts break lines with \n only, which counts without a regex
     plain = F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    breaks = F.when(c.rlike(RARE_BREAK), F.regexp_count(c, F.lit(LINE_BREAK))).otherwise(plain)
+    rare = reduce(or_, [c.contains(b) for b in BREAK_CHARS[1:]])
+    breaks = F.when(rare, F.regexp_count(c, F.lit(LINE_BREAK))).otherwise(plain)
     open_tail = (F.length(c) > 0) & ~F.right(c, F.lit(1)).isin(*BREAK_CHARS)
     return breaks + F.when(open_tail, 1).otherwise(0)
 
