@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendset.llm.flat import slices, text_bytes
+from mendset.llm.flat import BLOCK, slices, text_bytes
 
 SPACE_MARK = "▁"
-WORDS_AT_ONCE = 1 << 20  # symbols of one round of merging
+WORDS_AT_ONCE = 1 << 18  # symbols of one round of merging
 LONG = 4096
 NONE = np.iinfo(np.int32).max
 
@@ -285,7 +285,7 @@ def _spell_unknown(model: Model, pieces: np.ndarray, counts: np.ndarray) -> tupl
 
 def encode_batch(model: Model, texts: pa.Array) -> Iterator[np.ndarray]:
     """The ids of each text, without begin and end."""
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, BLOCK):
         data, offsets = text_bytes(texts.slice(lo, hi - lo))
         lead = (data & 0xC0) != 0x80
         at = np.append(0, np.cumsum(lead))[offsets]  # first character of each text
@@ -385,8 +385,23 @@ def decode(ids: Column, model: bytes) -> Column:
 def tokenized(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """The documents with `piece_ids` (packed, with begin and end), `n_tokens` and `decoded`.
 
-    These three names replace columns of the same names.
+    These three names replace columns of the same names. Encoding and decoding share one Python
+    worker per task.
     """
-    made = docs.withColumn("_encoded", encode(F.col(text), model, begin=True, end=True))
-    ids = made.withColumns({"piece_ids": F.col("_encoded.ids"), "n_tokens": F.col("_encoded.n_tokens")}).drop("_encoded")
-    return ids.withColumn("decoded", decode(F.col("piece_ids"), model))
+
+    @F.arrow_udf("ids binary, n_tokens bigint, text string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = load(model)
+        for texts in batches:
+            packed, counts, again = [], [], []
+            for ids in encode_batch(m, texts):
+                ids = np.concatenate([[m.begin], ids, [m.end]]).astype("<u4")
+                packed.append(ids.tobytes())
+                counts.append(len(ids))
+                again.append(decode_ids(m, ids.astype(np.int64)))
+            arrays = [pa.array(packed, pa.binary()), pa.array(counts, pa.int64()), pa.array(again, pa.string())]
+            yield pa.StructArray.from_arrays(arrays, names=["ids", "n_tokens", "text"])
+
+    made = docs.withColumn("_pieces", both(F.col(text).cast("string")))
+    names = {"piece_ids": "ids", "n_tokens": "n_tokens", "decoded": "text"}
+    return made.withColumns({k: F.col(f"_pieces.{v}") for k, v in names.items()}).drop("_pieces")
