@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendset.llm import decontaminate, histogram_sort, lsh_forest, pieces, pseudonyms, quality, urls
+from mendset.llm import class_lm, decontaminate, histogram_sort, lsh_forest, pieces, pseudonyms, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +78,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: The key of the registered queries; a user passes one that is kept secret.
 DEMO_KEY = b"mendset demonstration key"
 
