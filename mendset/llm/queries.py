@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendset.llm import class_lm, decontaminate, histogram_sort, lsh_forest, pieces, pseudonyms, quality, urls
+from mendset.llm import chunks, class_lm, decontaminate, histogram_sort, lsh_forest, pieces, pseudonyms, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "start", "stop", "words", "words_removed", "copies")
+
+
 # The rules of the registered query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
