@@ -283,11 +283,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = joined.per_document().filter("spoken")
     id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
     out = rows.filter((F.col("node") != F.col("kept")) | (id_ != F.col("rep")))
-    gone = stored(out.select(id_.alias("_id"), *[F.col(k).alias(f"_{k}") for k in keys]).distinct())
-    again = stored(rows.groupBy(id_.alias("_id"), *[F.col(k).alias(f"_{k}") for k in keys]).count().filter("count > 1").drop("count"))
+    gone = stored(out.select(id_.alias("__lsh_id"), *[F.col(k).alias(f"__lsh_{k}") for k in keys]).distinct())
+    again = stored(rows.groupBy(id_.alias("__lsh_id"), *[F.col(k).alias(f"__lsh_{k}") for k in keys]).count().filter("count > 1").drop("count"))
     n_gone, n_again = gone.count(), again.count()
-    marked = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))), **{f"_{k}": c for k, c in joined.digest.items()}})
-    on = ["_id", *[f"_{k}" for k in keys]]
+    marked = docs.withColumns({"__lsh_id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))), **{f"__lsh_{k}": c for k, c in joined.digest.items()}})
+    on = ["__lsh_id", *[f"__lsh_{k}" for k in keys]]
     left = joined_small(marked, gone, on, "left_anti", n_gone)
     if n_again:  # rows repeated in full: their texts are shuffled, so only where there are any
         single = joined_small(left, again, on, "left_anti", n_again)

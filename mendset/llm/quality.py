@@ -189,3 +189,10 @@ def judged(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataF
     p = 1 / (1 + F.exp(-trust.log_odds(F.col("votes"))))
     failed = base_failed()
     return table.withColumns({"base_failed": failed, "p_good": p, "kept": ~failed & (p >= 0.5)})
+
+
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that are kept, with their own columns only."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document")
+    judged_ = judged(docs.select(whole, F.col(text).alias("_text")), "_text", keep_text=False)
+    return judged_.filter("kept").select("_document.*")
