@@ -31,7 +31,6 @@ ENCRYPTION_ARGUMENTS = {
     "aws_db_instance": "storage_encrypted|kms_key_id",
     "aws_s3_bucket": "server_side_encryption_configuration",
 }
-MAX_ZONES = 25  # no region has that many, so a larger index into a zone list is out of range
 
 
 def _none() -> Column:
@@ -96,8 +95,9 @@ def literals(text: Column) -> Column:
     nets = F.array_distinct(F.regexp_extract_all(text, F.lit(r'"(\d+\.\d+\.\d+\.\d+/\d+)"'), F.lit(1)))
 
     def bad_net(n):
-        numbers = F.transform(F.split(n, "[./]"), lambda x: x.cast("bigint"))
-        return F.exists(F.slice(numbers, 1, 4), lambda x: x > 255) | (numbers[4] > 32)
+        # a number too long for a bigint is null, and out of range
+        numbers = F.transform(F.split(n, "[./]"), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(256)))
+        return F.exists(F.slice(numbers, 1, 4), lambda x: x > 255) | (F.get(numbers, F.lit(4)) > 32)
 
     images = F.array_distinct(F.regexp_extract_all(text, F.lit(r'(?m)^[ \t]*(?:ami|image_id)\s*=\s*"([^"$]*)"'), F.lit(1)))
     regions = F.array_distinct(F.regexp_extract_all(text, F.lit(r'(?m)^[ \t]*region\s*=\s*"([^"$]*)"'), F.lit(1)))
@@ -151,7 +151,9 @@ def provider(text: Column, blocks: Column) -> Column:
 
 
 def open_ingress(text: Column) -> Column:
-    rules = F.regexp_extract_all(text, F.lit(r"ingress\s*\{([^}]*)\}"), F.lit(1))
+    inside = F.regexp_extract_all(text, F.lit(r"ingress\s*\{([^}]*)\}"), F.lit(1))
+    alone = F.regexp_extract_all(text, F.lit(r'resource\s+"aws_security_group_rule"\s+"[^"]*"\s*\{([^}]*)\}'), F.lit(1))
+    rules = F.concat(inside, F.filter(alone, lambda r: r.rlike(r'\btype\s*=\s*"ingress"')))
     wide = lambda r: (
         r.contains("0.0.0.0/0") & r.rlike(r"from_port\s*=\s*0\b") & r.rlike(r"to_port\s*=\s*65535\b")
     )
@@ -179,7 +181,7 @@ def encryption(text: Column, blocks: Column) -> Column:
 def hcl_findings(text: Column, blocks: Column) -> Column:
     return F.concat(
         braces(text), undeclared_var(text), undeclared_resource(text, blocks), required_arguments(text, blocks),
-        literals(text), cycle(text, blocks), open_ingress(text), encryption(text, blocks),
+        literals(text), cycle(text, blocks), provider(text, blocks), open_ingress(text), encryption(text, blocks),
     )
 
 
@@ -248,8 +250,9 @@ def intrinsics(nodes: Column) -> Column:
     def out_of_range(n):
         index = F.get(n["items"], F.lit(0))
         source = F.get(n["items"], F.lit(1))
-        size = F.when(source["kind"] == "list", source["size"]).otherwise(MAX_ZONES)
-        return (index["kind"] == "int") & (F.try_to_number(index["value"], F.lit("999999999")) >= size)
+        # only a list that stands in the text has a known size
+        known = (index["kind"] == "int") & (source["kind"] == "list")
+        return F.coalesce(known & (F.coalesce(index["value"].try_cast("bigint"), F.lit(1 << 62)) >= source["size"]), F.lit(False))
 
     conditions = section_names(nodes, "Conditions")
     names = F.array_distinct(
@@ -290,9 +293,12 @@ def template_cycle(nodes: Column) -> Column:
 
 def template_open_ingress(nodes: Column) -> Column:
     parent = lambda n: F.slice(n["path"], 1, F.size(n["path"]) - 1)
+    in_group = lambda n: F.get(n["path"], F.lit(3)) == "SecurityGroupIngress"
+    own_type = lambda n: node_at(nodes, F.concat(F.slice(n["path"], 1, 2), F.array(F.lit("Type"))))["value"]
+    alone = lambda n: (F.size(n["path"]) == 4) & (own_type(n) == "AWS::EC2::SecurityGroupIngress")
     world = F.filter(
         nodes,
-        lambda n: (n["key"] == "CidrIp") & (n["value"] == "0.0.0.0/0") & (n["path"][3] == "SecurityGroupIngress"),
+        lambda n: (n["key"] == "CidrIp") & (n["value"] == "0.0.0.0/0") & F.coalesce(in_group(n) | alone(n), F.lit(False)),
     )
 
     def wide(n):

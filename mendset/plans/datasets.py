@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from mendset.functions.text import line_count as count_lines
 from mendset.operators import curation, records
-from mendset.operators.inject import inject
-from mendset.operators.taxonomy import category_of, fault_dim, stratified_faults
-from mendset.plans.base import CONFIGS, HCL, LINE_COUNT_SQL, longs, query, table, taxonomy_sql
+from mendset.operators.inject import HCL_FAULTS, TEMPLATE_FAULTS, inject
+from mendset.operators.taxonomy import category_of, fault_dim
+from mendset.plans.base import CONFIGS, HCL, LINE_COUNT_SQL, TPL, longs, query, table, taxonomy_sql
+from mendset.plans.faults import ALL_BROKEN, both_formats
 from mendset.sources import corpus
+from mendset.sources.corpus import materialized
 from mendset.sources.rendered import configs, hcl_configs
 
 # A record table out of `documents`: every branch of filters, quotas and defaults occurs in it.
@@ -128,39 +130,35 @@ def dist_difficulty(spark, sf_dir):
 
 @query(
     "split_counts",
-    f"""WITH {_SPLIT} SELECT s.split, count(r.id) AS records FROM (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN srec r ON r.split = s.split AND r.split <> 'val' GROUP BY s.split""",
+    f"""WITH {_SPLIT} SELECT s.split, count(r.id) AS records FROM (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN srec r ON r.split = s.split GROUP BY s.split""",
 )
 def split_counts(spark, sf_dir):
-    # without the val records, to see that an empty split is reported
-    return records.split_counts(records.group_split(_records(spark, sf_dir)).filter("split <> 'val'"))
+    return records.split_counts(records.group_split(_records(spark, sf_dir)))
 
 
-_TWO = ["SEMANTIC.invalid_region", "DEPENDENCY.missing_depends_on"]
-_HITS = f"""{HCL}, hits AS (SELECT doc_id, text, 'SEMANTIC.invalid_region' AS fault_id FROM hcl WHERE contains(text, 'region = "')
-UNION ALL SELECT doc_id, text, 'DEPENDENCY.missing_depends_on' FROM hcl WHERE contains(text, 'depends_on'))"""
+_HITS = f"""{HCL}, {TPL}, hits AS ({ALL_BROKEN}),
+gold AS (SELECT doc_id, 'terraform' AS format, md5(text) AS h FROM hcl UNION ALL SELECT doc_id, 'cloudformation', md5(text) FROM tpl),
+per AS (SELECT format, fault_id, count(*) AS n FROM hits GROUP BY ALL),
+f AS (SELECT * FROM (VALUES {", ".join(f"('{fmt}', '{f}')" for fmt, names in (("terraform", HCL_FAULTS), ("cloudformation", TEMPLATE_FAULTS)) for f in names)}) t(format, fault_id)),
+na AS (SELECT f.fault_id, sum((SELECT count(*) FROM gold g WHERE g.format = f.format) - coalesce(per.n, 0))::BIGINT AS not_applicable
+  FROM f LEFT JOIN per ON per.format = f.format AND per.fault_id = f.fault_id GROUP BY f.fault_id),
+lost AS (SELECT count(*) AS n FROM gold WHERE h NOT IN (SELECT g.h FROM gold g JOIN hits x ON x.doc_id = g.doc_id AND x.format = g.format))"""
 
 
 def _run(spark, sf_dir):
-    gold = hcl_configs(spark, sf_dir)
-    chosen = stratified_faults(fault_dim(spark), 100).filter(
-        (F.col("format") == "terraform") & F.col("fault_id").isin(*_TWO)
-    )
-    return gold, chosen, records.to_record(inject(gold, _TWO, []), fault_dim(spark))
+    """A run of all faults over all configs: golds, chosen faults, and one narrow row per record."""
+    gold = both_formats(spark, sf_dir)
+    chosen = fault_dim(spark).select(F.explode("formats").alias("format"), "fault_id").filter(F.col("format").isin("terraform", "cloudformation"))
+    rows = inject(gold).select("format", records.gold_hash(F.col("text")).alias("gold_hash"), F.array("fault_id").alias("fault_types"))
+    return gold, chosen, materialized(rows)
 
 
-@query(
-    "na_counts",
-    f"""WITH {_HITS}, f AS (SELECT * FROM (VALUES ('SEMANTIC.invalid_region'), ('DEPENDENCY.missing_depends_on')) t(fault_id))
-SELECT f.fault_id, count(*)::BIGINT AS not_applicable FROM f CROSS JOIN hcl h WHERE NOT EXISTS (SELECT 1 FROM hits x WHERE x.doc_id = h.doc_id AND x.fault_id = f.fault_id) GROUP BY f.fault_id""",
-)
+@query("na_counts", f"WITH {_HITS} SELECT * FROM na WHERE not_applicable > 0")
 def na_counts(spark, sf_dir):
     return records.na_counts(*_run(spark, sf_dir))
 
 
-@query(
-    "resistant_golds",
-    f"WITH {_HITS} SELECT count(*) AS resistant_configs FROM hcl WHERE md5(text) NOT IN (SELECT md5(text) FROM hits)",
-)
+@query("resistant_golds", f"WITH {_HITS} SELECT n AS resistant_configs FROM lost")
 def resistant_golds(spark, sf_dir):
     gold, _, rows = _run(spark, sf_dir)
     return records.resistant_golds(gold, rows)
@@ -168,9 +166,8 @@ def resistant_golds(spark, sf_dir):
 
 @query(
     "run_stats",
-    f"""WITH {_HITS} SELECT (SELECT count(*) FROM hcl) AS total_gold, (SELECT count(*) FROM hits) AS total_broken,
- (SELECT count(*) FROM hcl WHERE md5(text) NOT IN (SELECT md5(text) FROM hits)) AS resistant_configs,
- (SELECT count(*) FROM hcl WHERE NOT contains(text, 'region = "')) AS no_region, 0::BIGINT AS errors""",
+    f"""WITH {_HITS} SELECT (SELECT count(*) FROM gold) AS total_gold, (SELECT count(*) FROM hits) AS total_broken,
+ (SELECT n FROM lost) AS resistant_configs, (SELECT not_applicable FROM na WHERE fault_id = 'SEMANTIC.invalid_region') AS no_region, 0::BIGINT AS errors""",
 )
 def run_stats(spark, sf_dir):
     row = records.run_stats(*_run(spark, sf_dir))

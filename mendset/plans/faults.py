@@ -355,24 +355,26 @@ SQL["SECURITY.cf_missing_encryption"] = by_shape(
 
 # ---- the driver
 
-_CIDR = r'"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}/\d{1,2})"'
+def both_formats(spark, sf_dir) -> DataFrame:
+    """Every order in both renderings; doc_id and format together name a config."""
+    hcl = hcl_configs(spark, sf_dir).select("doc_id", "text", F.lit("terraform").alias("format"))
+    return hcl.unionAll(template_configs(spark, sf_dir).select("doc_id", "text", F.lit("cloudformation").alias("format")))
 
 
-@query(
-    "inject",
-    f"""WITH {CONFIGS}, picked AS (
-  SELECT doc_id, format, 'SEMANTIC.invalid_cidr' AS fault_id, text, regexp_extract(text, '{_CIDR}', 1) AS v, {quote(faults_hcl.BAD_CIDR)} AS r FROM configs WHERE format = 'terraform' AND regexp_matches(text, '{_CIDR}')
-  UNION ALL SELECT doc_id, format, 'SEMANTIC.invalid_region', text, regexp_extract(text, 'region = "([^"]*)"', 1), {quote(faults_hcl.BAD_REGION)} FROM configs WHERE format = 'terraform' AND regexp_matches(text, 'region = "')
-  UNION ALL SELECT doc_id, format, 'INTRINSIC.bad_if_condition', text, '[IsLive', '[NonExistentCondition' FROM configs WHERE contains(text, '!If [IsLive'))
-SELECT doc_id, format, fault_id, md5(substr(text, 1, p) || r || substr(text, p + length(v) + 1)) AS broken_hash
-FROM (SELECT *, instr(text, v) - 1 AS p FROM picked)""",
+def _broken_by(fault_id: str, fmt: str) -> str:
+    return f"SELECT doc_id, '{fmt}' AS format, '{fault_id}' AS fault_id, broken_hash FROM ({SQL[fault_id]}) WHERE part = 0"
+
+
+#: (doc_id, format, fault_id, broken_hash) of all faults, from the SQL of each.
+ALL_BROKEN = "\nUNION ALL ".join(
+    _broken_by(f, fmt) for fmt, names in (("terraform", HCL_FAULTS), ("cloudformation", TEMPLATE_FAULTS)) for f in names
 )
+
+
+@query("inject", ALL_BROKEN)
 def inject_query(spark, sf_dir):
-    rows = inject(
-        configs(spark, sf_dir),
-        ["SEMANTIC.invalid_cidr", "SEMANTIC.invalid_region"],
-        ["INTRINSIC.bad_if_condition"],
-    )
+    """All 37 faults on every config of their format."""
+    rows = inject(both_formats(spark, sf_dir))
     return rows.select("doc_id", "format", "fault_id", F.md5("broken").alias("broken_hash"))
 
 
@@ -430,11 +432,14 @@ def trusted_errors_query(spark, sf_dir):
     rf"""WITH {HCL}, v AS (
   SELECT doc_id, 'SEMANTIC.invalid_region' AS fault_id, true AS accepted FROM hcl WHERE contains(text, 'region = "')
   UNION ALL SELECT doc_id, 'SECURITY.overly_permissive_security_group', true FROM hcl WHERE contains(text, '"aws_security_group"')
-  UNION ALL SELECT doc_id, 'DEPENDENCY.missing_depends_on', false FROM hcl WHERE contains(text, 'depends_on'))
+  UNION ALL SELECT doc_id, 'DEPENDENCY.missing_depends_on', NOT contains(text, 'provider "aws"') FROM hcl WHERE contains(text, 'depends_on'))
 SELECT * FROM v""",
 )
 def break_verdict_query(spark, sf_dir):
-    """Verdicts of gold and broken texts by the static checks, then the acceptance rule."""
+    """Verdicts of gold and broken texts by the static checks, then the acceptance rule.
+
+    A config without a provider block is invalid before the edit, so any edit of it counts as a break.
+    """
     from mendset.operators.validation import rule_code_split
 
     names = ["SEMANTIC.invalid_region", "SECURITY.overly_permissive_security_group", "DEPENDENCY.missing_depends_on"]

@@ -345,7 +345,7 @@ UNION ALL SELECT doc_id, 'E011', 'Condition not defined: IsDead' FROM y WHERE do
 UNION ALL SELECT doc_id, 'E011', 'Join needs a delimiter and a list: Resources.Store.Properties.BucketName.Join' FROM y WHERE doc_id % 5 = 3 AND contains(text, '!Join')""",
 )
 def chk_intrinsics(spark, sf_dir):
-    slip = """CASE doc_id % 5 WHEN 0 THEN replace(text, concat('$', '{StackEnv}-net'), concat('$', '{StackEnv-net')) WHEN 1 THEN replace(text, '!Select [0,', '!Select [40,')
+    slip = """CASE doc_id % 5 WHEN 0 THEN replace(text, concat('$', '{StackEnv}-net'), concat('$', '{StackEnv-net')) WHEN 1 THEN replace(text, '!Select [0, !GetAZs ""]', '!Select [40, [a, b]]')
       WHEN 2 THEN replace(text, '!If [IsLive', '!If [IsDead') WHEN 3 THEN replace(text, '!Join ["-", [', '!Join [["-", ') ELSE text END"""
     fixed = f"CASE WHEN doc_id % 5 = 3 THEN regexp_replace({slip}, '!Join [^' || chr(10) || ']*', '!Join [a, b, c]') ELSE {slip} END"
     return _findings(spark, sf_dir, "template", fixed, lambda: checks.intrinsics(_nodes()))

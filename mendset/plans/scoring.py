@@ -37,9 +37,12 @@ def _attempts(spark, sf_dir) -> DataFrame:
     )
 
 
+_MODELS, _CONFIGURED = ["F", "O"], 20  # attempts configured for each entry; no order has more line items
+
+
 def _results(spark, sf_dir) -> DataFrame:
-    counts = ev.attempt_counts(_attempts(spark, sf_dir))
-    return counts.join(_entries(spark, sf_dir), "entry_id")
+    """Every entry with every model, n attempts as configured, and the passes among them."""
+    return ev.entry_counts(_entries(spark, sf_dir), _attempts(spark, sf_dir), _MODELS, _CONFIGURED)
 
 
 def _breakdown(spark, sf_dir) -> DataFrame:
@@ -48,8 +51,10 @@ def _breakdown(spark, sf_dir) -> DataFrame:
 
 _RES = f"""ent AS (SELECT o_orderkey AS entry_id, CASE WHEN o_orderkey % 2 = 0 THEN 'terraform' ELSE 'cloudformation' END AS format, {_LEVEL} AS difficulty,
   {_CATS!r}[1 + o_orderkey % 8] AS c1, CASE WHEN o_orderkey % 5 = 0 THEN {_CATS!r}[1 + (o_orderkey + o_orderkey % 2) % 8] END AS c2 FROM orders),
-cnt AS (SELECT l_linestatus AS model, l_orderkey AS entry_id, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS c FROM lineitem GROUP BY ALL),
-res AS (SELECT cnt.*, ent.format, ent.difficulty, ent.c1, ent.c2 FROM cnt JOIN ent ON cnt.entry_id = ent.entry_id),
+cnt AS (SELECT l_linestatus AS model, l_orderkey AS entry_id, count(*) FILTER (l_returnflag = 'N') AS c FROM lineitem GROUP BY ALL),
+mdl AS (SELECT * FROM (VALUES ('F'), ('O')) t(model)),
+res AS (SELECT mdl.model, ent.entry_id, {_CONFIGURED} AS n, coalesce(cnt.c, 0) AS c, ent.format, ent.difficulty, ent.c1, ent.c2
+  FROM ent CROSS JOIN mdl LEFT JOIN cnt ON cnt.entry_id = ent.entry_id AND cnt.model = mdl.model),
 sc AS (SELECT *, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE 1 - (n - c)::DOUBLE / n END AS p1,
   CASE WHEN n < 3 THEN (c > 0)::INT::DOUBLE WHEN c = 0 THEN 0 WHEN n - c < 3 THEN 1 ELSE 1 - ((n - c) * (n - c - 1) * (n - c - 2))::DOUBLE / (n * (n - 1) * (n - 2)) END AS p3 FROM res),
 lng AS (SELECT *, unnest([1, 3]) AS k, unnest([p1, p3]) AS p FROM sc)"""
@@ -96,9 +101,8 @@ def entry_counts(spark, sf_dir):
 
 @query("pass_at_k", f"WITH {_RES} SELECT model, entry_id, round(p1, 9) AS p1, round(p3, 9) AS p3 FROM sc")
 def pass_at_k(spark, sf_dir):
-    counts = ev.attempt_counts(_attempts(spark, sf_dir))
     p = lambda k: F.round(ev.pass_at_k(F.col("n"), F.col("c"), k), 9).alias(f"p{k}")
-    return counts.join(_entries(spark, sf_dir).select("entry_id"), "entry_id").select("model", "entry_id", p(1), p(3))
+    return _results(spark, sf_dir).select("model", "entry_id", p(1), p(3))
 
 
 def _dimension(name: str):

@@ -39,14 +39,14 @@ def fault_dim(spark, sf_dir):
     f"""WITH {CONFIGS}, {taxonomy_sql()}, r AS (SELECT DISTINCT fault_id, category, formats, ord FROM faults)
 SELECT c.doc_id, 'category' AS kind, f.fault_id, f.ord::BIGINT AS ord FROM configs c JOIN r f ON f.category = 'SECURITY' AND list_contains(string_split(f.formats, ','), c.format)
 UNION ALL SELECT c.doc_id, 'id', f.fault_id, f.ord::BIGINT FROM configs c JOIN r f ON f.fault_id = 'SYNTACTIC.invalid_yaml' AND c.format = 'cloudformation'
-UNION ALL SELECT c.doc_id, 'format', f.fault_id, f.ord::BIGINT FROM configs c JOIN r f ON c.doc_id % 50 = 0 AND c.format = 'terraform' AND contains(f.formats, 'opentofu')""",
+UNION ALL SELECT c.doc_id, 'format', f.fault_id, f.ord::BIGINT FROM configs c JOIN r f ON c.format = 'terraform' AND contains(f.formats, 'opentofu')""",
 )
 def fault_lookup(spark, sf_dir):
     faults, docs = tax.fault_dim(spark), configs(spark, sf_dir).select("doc_id", "format")
     found = [
         ("category", tax.by_category(faults, "SECURITY"), docs),
         ("id", tax.by_id(faults, "SYNTACTIC.invalid_yaml"), docs),
-        ("format", tax.by_format(faults, "opentofu"), docs.filter("doc_id % 50 = 0")),
+        ("format", tax.by_format(faults, "opentofu"), docs),
     ]
     rows = [
         tax.applicability_join(d, f).select("doc_id", F.lit(kind).alias("kind"), "fault_id", F.col("ord").cast("bigint").alias("ord"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,12 +35,27 @@ def keep_corpus_files(files: DataFrame) -> DataFrame:
     )
 
 
-def corpus_scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, text, length of all corpus files below `root`, in path order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _corpus_files(spark: SparkSession, root: str) -> DataFrame:
+    # the reader lists only files of a corpus extension, so no other file's bytes are loaded
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.option("pathGlobFilter", "*{" + ",".join(EXTENSIONS) + "}").load(root)
     relative = F.regexp_replace(F.col("path"), r"^(file:|[a-z0-9]+://[^/]*)?/*", "/")
-    kept = keep_corpus_files(files.withColumn("path", relative))
-    return kept.select("path", F.decode("content", "UTF-8").alias("text"), "length").orderBy("path")
+    return keep_corpus_files(files.withColumn("path", relative)).withColumn("text", F.col("content").cast("string"))
+
+
+def corpus_scan(spark: SparkSession, root: str) -> DataFrame:
+    """path, text, length of all corpus files below `root` that are UTF-8 (see corpus_rejects).
+
+    Rows come in no order; a sink that needs path order sorts by path.
+    """
+    files = _corpus_files(spark, root)
+    return files.filter(F.is_valid_utf8("text")).select("path", "text", "length")
+
+
+def corpus_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """path, length, reason of the corpus files that corpus_scan leaves out."""
+    files = _corpus_files(spark, root)
+    return files.filter(~F.is_valid_utf8("text")).select("path", "length", F.lit("not UTF-8").alias("reason"))
 
 
 def record_scan(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
@@ -126,18 +142,22 @@ def chat_split_sink(chats: DataFrame, path: str) -> None:
     chats.select(renamed.alias("split"), "messages").write.partitionBy("split").mode("overwrite").json(path)
 
 
-def materialized(rows: DataFrame) -> DataFrame:
+def materialized(rows: DataFrame, folder: str | None = None) -> DataFrame:
     """Write rows as a table once and read them back, for plans that use them several times.
 
-    The table goes to the shared folder of `spark.checkpoint.dir`; it survives lost executors, and
-    readers get column pruning. Only a local session without that setting uses a temporary folder.
+    The table goes to `folder`, or to the shared folder of `spark.checkpoint.dir`, or where that is
+    unset to a folder of the warehouse, which executors share too; it survives lost executors, and
+    readers get column pruning. It is deleted when Python ends.
     """
     spark = rows.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="mendset-")
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
     path = f"{folder.rstrip('/')}/mendset-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.read.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended first
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

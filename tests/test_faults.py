@@ -343,13 +343,13 @@ RAISES = {
         "REFERENCE.undefined_variable": "E002", "REFERENCE.bad_resource_reference": "E003",
         "SEMANTIC.bad_ami_format": "E008", "SEMANTIC.invalid_cidr": "E008", "SEMANTIC.invalid_region": "E008",
         "DEPENDENCY.circular_dependency": "E009", "SECURITY.overly_permissive_security_group": "W001",
-        "SECURITY.missing_encryption": "W002", "CROSS_RESOURCE.wrong_az_reference": "E008",
+        "SECURITY.missing_encryption": "W002", "PROVIDER.missing_provider": "E010", "CROSS_RESOURCE.wrong_az_reference": "E008",
     },
     "template": {
         "SYNTACTIC.missing_required_property": "E005", "SYNTACTIC.invalid_json_template": "E012",
         "REFERENCE.broken_ref": "E004", "REFERENCE.bad_getatt": "E004", "REFERENCE.undefined_parameter": "E004",
         "SEMANTIC.cf_bad_ami": "E008", "DEPENDENCY.circular_depends_on": "E009", "INTRINSIC.malformed_sub": "E011",
-        "INTRINSIC.wrong_select_index": "E011", "INTRINSIC.bad_if_condition": "E011", "INTRINSIC.invalid_join": "E011",
+        "INTRINSIC.bad_if_condition": "E011", "INTRINSIC.invalid_join": "E011",
         "SECURITY.open_ingress": "W001", "SECURITY.cf_missing_encryption": "W002",
     },
 }
