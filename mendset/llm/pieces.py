@@ -362,9 +362,11 @@ def encode(text: Column, model: bytes, begin: bool = False, end: bool = False) -
         head = np.array([m.begin] if begin else [], "<u4")
         tail = np.array([m.end] if end else [], "<u4")
         for texts in batches:
-            packed = [np.concatenate([head, ids.astype("<u4"), tail]).tobytes() for ids in encode_batch(m, texts)]
-            counts = pa.array([len(p) // 4 for p in packed], pa.int64())
-            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), counts], names=["ids", "n_tokens"])
+            for a, b in slices(texts, BLOCK):  # what goes back need not keep the batches
+                made = encode_batch(m, texts.slice(a, b - a))
+                packed = [np.concatenate([head, ids.astype("<u4"), tail]).tobytes() for ids in made]
+                counts = pa.array([len(p) // 4 for p in packed], pa.int64())
+                yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), counts], names=["ids", "n_tokens"])
 
     return encoded(text.cast("string"))
 
@@ -393,14 +395,15 @@ def tokenized(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = load(model)
         for texts in batches:
-            packed, counts, again = [], [], []
-            for ids in encode_batch(m, texts):
-                ids = np.concatenate([[m.begin], ids, [m.end]]).astype("<u4")
-                packed.append(ids.tobytes())
-                counts.append(len(ids))
-                again.append(decode_ids(m, ids.astype(np.int64)))
-            arrays = [pa.array(packed, pa.binary()), pa.array(counts, pa.int64()), pa.array(again, pa.string())]
-            yield pa.StructArray.from_arrays(arrays, names=["ids", "n_tokens", "text"])
+            for a, b in slices(texts, BLOCK):  # what goes back need not keep the batches
+                packed, counts, again = [], [], []
+                for ids in encode_batch(m, texts.slice(a, b - a)):
+                    ids = np.concatenate([[m.begin], ids, [m.end]]).astype("<u4")
+                    packed.append(ids.tobytes())
+                    counts.append(len(ids))
+                    again.append(decode_ids(m, ids.astype(np.int64)))
+                arrays = [pa.array(packed, pa.binary()), pa.array(counts, pa.int64()), pa.array(again, pa.string())]
+                yield pa.StructArray.from_arrays(arrays, names=["ids", "n_tokens", "text"])
 
     made = docs.withColumn("_pieces", both(F.col(text).cast("string")))
     names = {"piece_ids": "ids", "n_tokens": "n_tokens", "decoded": "text"}
