@@ -158,7 +158,7 @@ def wrong_attribute_type(d: Document) -> Column:
     number, boolean = NUMBER_VALUE, BOOLEAN_VALUE
 
     def build(b):
-        typed = F.filter(attributes(d.text, b), lambda a: a["text"].rlike(f"{number}|{boolean}"))
+        typed = F.filter(attributes(b), lambda a: a["text"].rlike(f"{number}|{boolean}"))
 
         def change(a):
             is_number = a["text"].rlike(number)
@@ -204,7 +204,7 @@ def invalid_hcl_syntax(d: Document) -> Column:
                 _says("equals", a["name"]),
             )
 
-        chosen = pick(attributes(d.text, b), d.draw(me, "attribute"))
+        chosen = pick(attributes(b), d.draw(me, "attribute"))
         return let(chosen, lambda a: F.when(a.isNotNull(), change(a)))
 
     return _on_block(d, me, build)
@@ -229,7 +229,7 @@ def missing_required_argument(d: Document) -> Column:
         return F.struct(
             s["b"].alias("b"),
             F.get(
-                F.filter(attributes(d.text, s["b"]), lambda a: F.array_contains(wanted, a["name"])), F.lit(0)
+                F.filter(attributes(s["b"]), lambda a: F.array_contains(wanted, a["name"])), F.lit(0)
             ).alias("a"),
         )
 
@@ -247,7 +247,7 @@ def missing_required_argument(d: Document) -> Column:
         hit = F.get(F.filter(F.transform(typed, candidate), lambda c: c["a"].isNotNull()), F.lit(0))
         first = F.get(order, F.lit(0))["b"]
         fallback = let(
-            F.get(attributes(d.text, first), F.lit(0)),
+            F.get(attributes(first), F.lit(0)),
             lambda a: F.when(a.isNotNull(), change(first, a, "argument")),
         )
         return let(

@@ -1,39 +1,42 @@
 """Block, attribute and reference spans of brace-structured texts.
 
-All structure of a document is found inside its own row, with array expressions, so that neither
-the text nor its tokens ever cross a shuffle. The table forms at the end explode those arrays.
-
-Brace matching works by peeling: quoted text (and comments) are blanked at equal length, then the
-innermost pairs are renamed to one private character, the next pairs to another, and so on. After
-that a block ends where the character of its opening brace occurs next. Every step is one linear
-scan. There is a character for each of 6,400 levels; deeper nesting counts as unbalanced.
+All structure of a document is found in its own row, so that neither the text nor its tokens ever
+cross a shuffle. Blocks, their assignments and references come from one linear scan per text
+(functions/braces.py) in Arrow batches; everything built on them is column expressions. The table
+forms at the end explode the arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendset.functions.text import all_matches, code_point_slice, let, strip
+from mendset.functions import braces
+from mendset.functions.text import code_point_slice, let, strip
+
+SPAN = [("start", pa.int32()), ("end", pa.int32())]
+ATTRIBUTE = pa.struct([("name", pa.string()), ("line", pa.int32()), ("start", pa.int32()), ("text", pa.string())])
+BLOCK = pa.struct([("type", pa.string()), ("name", pa.string()), *SPAN, ("line", pa.int32()), ("attrs", pa.list_(ATTRIBUTE))])
+MATCH = pa.struct([("start", pa.int32()), ("found", pa.string())])
+
+# names of the parts of a dotted word; a word starts where none goes on
+VARIABLE_REF = r"var\.(\w+)"
+RESOURCE_REF = r"(?<!\w)(\w+)\.(\w+)\.(\w+)"
 
-LEVELS = "".join(chr(c) for c in range(0xE000, 0xF900))
-USUAL_LEVELS = 3
-PAIR = r"\{([^{}]*)\}"
-ANY_LEVEL = r"[\uE000-\uF8FF]"
 
-# (?md): ^ only after a newline, as in the dialect the patterns come from
-RESOURCE = r'[ \t]*resource\s+"([^"]+)"\s+"([^"]+)"\s*'
-ASSIGNMENT = r"(?U)^(\w+)\s*="
-VARIABLE_REF = r"(?U)var\.(\w+)"
-RESOURCE_REF = r"(?U)(\w+)\.(\w+)\.(\w+)"
+def _scanned(text: Column, kind: str, item: pa.DataType, scan: Callable[[str | None], list]) -> Column:
+    """array<kind>: what `scan` lists for each text."""
 
+    @F.arrow_udf(f"array<{kind}>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([scan(t) for t in texts.to_pylist()], pa.list_(item))
 
-def kind_header(kind: str, label: str | None = None) -> str:
-    if label is None:
-        return rf"[ \t]*{kind}\s+[^\n{{]*?"
-    return rf'[ \t]*{kind}\s+["\']?\Q{label}\E["\']?(?:\s+["\'][^"\']*["\'])?\s*'
+    return found(text)
 
 
 def _blank_quotes(segment: Column, comments: bool) -> Column:
@@ -50,157 +53,31 @@ def _blank_quotes(segment: Column, comments: bool) -> Column:
     )
 
 
-def _depth(masked: Column) -> Column:
-    braces = F.regexp_extract_all(masked, F.lit("[{}]"), F.lit(0))
-    return F.aggregate(
-        braces,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda a, b: let(
-            F.when(b == "{", a["now"] + 1).otherwise(F.greatest(a["now"] - 1, F.lit(0))),
-            lambda now: F.struct(now.alias("now"), F.greatest(a["top"], now).alias("top")),
-        ),
-        lambda a: a["top"],
-    )
-
-
-def _peel(text: Column, header: str, comments: bool) -> Column:
-    """The text with every matched brace pair replaced by the character of its level."""
-    # quoting starts afresh at each header, so a stray quote cannot hide the blocks after it
-    segments = F.split(F.regexp_replace(text, ANY_LEVEL, " "), rf"(?md)(?=^{header}\{{)")
-    masked = F.array_join(F.transform(segments, lambda s: _blank_quotes(s, comments)), "")
-
-    def level(t: Column, k: Column | int) -> Column:
-        c = F.lit(LEVELS[k - 1]) if isinstance(k, int) else F.substring(F.lit(LEVELS), k, F.lit(1))
-        return F.regexp_replace(t, F.lit(PAIR), F.concat(c, F.lit("$1"), c))
-
-    def deeper(t: Column) -> Column:
-        # few texts nest beyond the first levels; those that do are peeled as deep as they go
-        last = F.least(_depth(t) + USUAL_LEVELS, F.lit(len(LEVELS)))
-        more = F.sequence(F.lit(USUAL_LEVELS + 1), F.greatest(last, F.lit(USUAL_LEVELS + 1)))
-        return F.when(t.contains("{") & t.rlike(PAIR), F.aggregate(more, t, level)).otherwise(t)
-
-    def if_any(k: int) -> Callable[[Column], Column]:
-        return lambda t: F.when(t.contains("{"), level(t, k)).otherwise(t)
-
-    peeled = masked
-    for k in range(1, USUAL_LEVELS + 1):
-        peeled = let(peeled, if_any(k))
-    return let(peeled, deeper)
-
-
-def _spans(text: Column, header: str, comments: bool) -> Column:
-    """array<struct<start,end>> of the balanced blocks whose header matches, in text order."""
-    body = rf"(?d)^{header}({ANY_LEVEL})(?s:.*?)\{header.count('(') - header.count('(?') + 1}"
-
-    def starts(peeled: Column) -> Column:
-        pieces = F.split(peeled, rf"(?md)(?=^{header}{ANY_LEVEL})")
-        return F.aggregate(
-            pieces,
-            F.struct(
-                F.lit(0).alias("at"),
-                F.expr("cast(array() as array<struct<start:int,piece:string>>)").alias("out"),
-            ),
-            lambda a, p: F.struct(
-                (a["at"] + F.length(p)).alias("at"),
-                F.concat(
-                    a["out"], F.array(F.struct(a["at"].alias("start"), p.alias("piece")))
-                ).alias("out"),
-            ),
-            lambda a: F.filter(a["out"], lambda p: p["piece"].rlike(rf"(?d)^{header}{ANY_LEVEL}")),
-        )
-
-    def close(peeled: Column, p: Column) -> Column:
-        # nearly always the block ends before the next header; otherwise look at all that follows
-        rest = F.substring(peeled, p["start"] + 1, F.length(peeled))
-        return let(
-            F.length(F.regexp_extract(p["piece"], body, 0)),
-            lambda near: F.struct(
-                p["start"].alias("start"),
-                (
-                    p["start"] + F.when(near > 0, near).otherwise(F.length(F.regexp_extract(rest, body, 0)))
-                ).alias("end"),
-            ),
-        )
-
-    spans = let(
-        _peel(text, header, comments),
-        lambda peeled: F.transform(starts(peeled), lambda p: close(peeled, p)),
-    )
-    balanced = F.filter(
-        spans,
-        lambda s: (s["end"] > s["start"])
-        & code_point_slice(text, s["start"], s["end"]).rlike(rf"(?d)^{header}\{{"),
-    )
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    return F.when(text.rlike(rf"(?md)^{header}\{{"), balanced).otherwise(none)
-
-
 def block_spans(text: Column, kind: str, label: str | None = None) -> Column:
     """array<struct<start,end>> of `kind ... {...}` blocks; quoted text and # comments skipped."""
-    return _spans(text, kind_header(kind, label), comments=True)
+    blocks = braces.Blocks(braces.kind_header(kind, label), comments=True)
+    scan = lambda t: [{"start": a, "end": b} for a, b in blocks.find(t or "")]
+    return _scanned(text, "struct<start:int,end:int>", pa.struct(SPAN), scan)
 
 
 def resource_spans(text: Column) -> Column:
-    """array<struct<type,name,start,end>> of resource blocks; # comments are not skipped here."""
+    """array<struct<type,name,start,end,line,attrs>> of resource blocks; # comments are not skipped here.
 
-    def named(s: Column) -> Column:
-        return let(
-            code_point_slice(text, s["start"], s["end"]),
-            lambda b: F.struct(
-                F.regexp_extract(b, "^" + RESOURCE, 1).alias("type"),
-                F.regexp_extract(b, "^" + RESOURCE, 2).alias("name"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-            ),
-        )
-
-    return F.transform(_spans(text, RESOURCE, comments=False), named)
+    `line` is the number of the block's first line, `attrs` are its own assignments.
+    """
+    blocks = braces.Blocks(braces.RESOURCE, comments=False)
+    attrs = "array<struct<name:string,line:int,start:int,text:string>>"
+    kind = f"struct<type:string,name:string,start:int,end:int,line:int,attrs:{attrs}>"
+    return _scanned(text, kind, BLOCK, lambda t: braces.resources(blocks, t))
 
 
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def attributes(text: Column, block: Column) -> Column:
-    """array<struct<name,line,start,text>> of the block's own assignments (brace depth <= 1)."""
-
-    def step(a: Column, line: Column) -> Column:
-        # most lines have no brace and many no "=": native tests keep the costlier steps off them
-        count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-        change = F.when(line.contains("{") | line.contains("}"), count("{") - count("}")).otherwise(0)
-
-        def inner(depth: Column) -> Column:
-            return let(
-                F.when((depth <= 1) & line.contains("="), F.regexp_extract(strip(line), ASSIGNMENT, 1)).otherwise(""),
-                lambda name: F.struct(
-                    depth.alias("depth"),
-                    (a["at"] + F.length(line) + 1).alias("at"),
-                    (a["line"] + 1).alias("line"),
-                    F.when(
-                        name != "",
-                        F.concat(
-                            a["out"],
-                            F.array(
-                                F.struct(name.alias("name"), a["line"].alias("line"), a["at"].alias("start"), line.alias("text"))
-                            ),
-                        ),
-                    ).otherwise(a["out"]).alias("out"),
-                ),
-            )
-
-        return let(a["depth"] + change, inner)
-
-    return F.aggregate(
-        F.split(code_point_slice(text, block["start"], block["end"]), "\n", -1),
-        F.struct(
-            F.lit(0).alias("depth"),
-            block["start"].cast("int").alias("at"),
-            newlines(F.substring(text, F.lit(1), block["start"])).alias("line"),
-            F.expr("cast(array() as array<struct<name:string,line:int,start:int,text:string>>)").alias("out"),
-        ),
-        step,
-        lambda a: a["out"],
-    )
+def attributes(block: Column) -> Column:
+    """array<struct<name,line,start,text>> of the resource block's own assignments (brace depth <= 1)."""
+    return block["attrs"]
 
 
 def attribute_line(text: Column, block: Column, name: str) -> Column:
@@ -210,13 +87,18 @@ def attribute_line(text: Column, block: Column, name: str) -> Column:
         F.transform(lines, lambda x, i: F.when(strip(x).rlike(rf"^\Q{name}\E\s*="), i)),
         lambda i: i.isNotNull(),
     )
-    return newlines(F.substring(text, F.lit(1), block["start"])) + F.get(hits, F.lit(0))
+    return block["line"] + F.get(hits, F.lit(0))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    compiled = re.compile(pattern)
+    return _scanned(text, "struct<start:int,found:string>", MATCH, lambda t: braces.matches(compiled, t))
 
 
 def variable_refs(text: Column) -> Column:
     """array<struct<name,start>> of var.X."""
     return F.transform(
-        all_matches(text, VARIABLE_REF),
+        _matches(text, VARIABLE_REF),
         lambda m: F.struct(F.substr(m["found"], F.lit(5)).alias("name"), m["start"].alias("start")),
     )
 
@@ -233,7 +115,7 @@ def resource_refs(text: Column, strict: bool = True) -> Column:
             lambda a: F.struct(a[0].alias("type"), a[1].alias("name"), m["start"].alias("start")),
         )
 
-    found = F.transform(all_matches(text, RESOURCE_REF), parts)
+    found = F.transform(_matches(text, RESOURCE_REF), parts)
     keep = F.filter(found, lambda r: ~r["type"].startswith("var"))
     return F.filter(keep, lambda r: r["type"].rlike(r"(?U)^[\p{L}_]")) if strict else keep
 
@@ -266,14 +148,14 @@ def block_table(configs: DataFrame, kind: str) -> DataFrame:
 
 def resource_table(configs: DataFrame) -> DataFrame:
     spans = F.posexplode(resource_spans(F.col("text"))).alias("i", "b")
-    return configs.select("doc_id", spans).select("doc_id", "i", "b.*")
+    return configs.select("doc_id", spans).select("doc_id", "i", "b.type", "b.name", "b.start", "b.end")
 
 
 def attribute_table(configs: DataFrame) -> DataFrame:
     staged = configs.withColumn("blocks", resource_spans(F.col("text")))
     per_block = F.transform(
         "blocks",
-        lambda b: F.struct(b["type"].alias("type"), b["name"].alias("block"), attributes(F.col("text"), b).alias("attrs")),
+        lambda b: F.struct(b["type"].alias("type"), b["name"].alias("block"), attributes(b).alias("attrs")),
     )
     blocks = staged.select("doc_id", F.posexplode(per_block).alias("i", "b"))
     rows = blocks.select("doc_id", "i", "b.type", "b.block", F.explode("b.attrs").alias("a"))
