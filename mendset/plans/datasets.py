@@ -89,8 +89,11 @@ def group_split(spark, sf_dir):
     f"""WITH {_SPLIT} SELECT split, '{{"id":"' || id || '","gold_hash":"' || gold_hash || '","difficulty":"' || difficulty || '"}}' AS line FROM srec""",
 )
 def split_sink(spark, sf_dir):
-    rows = records.group_split(_records(spark, sf_dir))
-    return rows.select("split", F.to_json(F.struct("id", "gold_hash", "difficulty")).alias("line"))
+    """Splits written as JSON lines and read back."""
+    path = corpus.new_path(spark)
+    corpus.split_sink(records.group_split(_records(spark, sf_dir)), path)
+    rows = corpus.record_scan(spark, path, f"{corpus.RECORD_SCHEMA}, split_folder string")
+    return rows.select(F.col("split_folder").alias("split"), F.to_json(F.struct("id", "gold_hash", "difficulty")).alias("line"))
 
 
 @query(
@@ -190,7 +193,9 @@ SELECT '{{"total_records":' || (SELECT count(*) FROM rec) || ',"total_gold_confi
 )
 def metadata_sink(spark, sf_dir):
     rows = records.group_split(_records(spark, sf_dir)).withColumn("format", F.coalesce("format", F.lit("none")))
-    return records.metadata(rows).select(F.to_json(F.struct("*")).alias("document"))
+    path = corpus.new_path(spark)
+    records.metadata_sink(materialized(rows.select("gold_hash", "fault_types", "format", "source", "difficulty", "split")), path)
+    return spark.read.text(path).select(F.col("value").alias("document"))
 
 
 @query(
@@ -199,7 +204,9 @@ def metadata_sink(spark, sf_dir):
 )
 def benchmark_sink(spark, sf_dir):
     gap = F.when(F.col("seq") % 6 != 0, F.col("gold_hash"))
-    rows = corpus.benchmark_rows(_records(spark, sf_dir).withColumn("gold_hash", gap))
+    path = corpus.new_path(spark)
+    corpus.benchmark_sink(_records(spark, sf_dir).withColumn("gold_hash", gap), path)
+    rows = corpus.record_scan(spark, path, corpus.BENCHMARK_SCHEMA)
     return rows.select(
         "id", F.coalesce("format", F.lit("")).alias("format"), F.size("warnings").cast("bigint").alias("n_warnings"),
         "gold_hash", "difficulty", F.size("fault_types").cast("bigint").alias("n_faults"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mendset.operators import evaluation as ev
 from mendset.operators import export, validation
 from mendset.plans.base import HCL, WHITESPACE_SQL, longs, query, quote, table
+from mendset.sources import corpus
 from mendset.sources.rendered import hcl_configs
 
 # ---- 2.11 entries from orders, attempts from line items
@@ -145,7 +146,10 @@ def report_sink(spark, sf_dir):
     """Report documents, read back by path to check what is inside."""
     results = _results(spark, sf_dir).withColumn("model", F.concat(F.lit("lab/m:"), "model"))
     totals = results.groupBy("model").agg(F.max("n").alias("n_attempts"), F.count("*").alias("total_entries"))
-    docs = ev.report_documents(ev.pass_breakdown(results), totals)
+    path = corpus.new_path(spark)
+    written = ev.report_documents(ev.pass_breakdown(results), totals)
+    ev.report_sink(written, path)
+    docs = spark.read.text(path).select("file", F.col("value").alias("document"), F.get_json_object("value", "$.model_name").alias("model"))
     score = lambda path: F.round(F.get_json_object("document", path).cast("double"), 9)
     return docs.select(
         "model", "file", F.get_json_object("document", "$.total_entries").cast("bigint").alias("total_entries"),
@@ -227,7 +231,9 @@ def chat_split_sink(spark, sf_dir):
     chat = export.chat_record(F.col("errors"), F.col("warnings"), F.col("format"), F.col("text"), F.concat("text", F.lit(" done")))
     five = F.col("conv_id") % 5
     split = F.when(five == 0, "val").when(five == 1, "test").otherwise("train")
-    rows = _chats(spark, sf_dir).select(export.chat_split(split).alias("split"), chat.alias("messages"))
+    path = corpus.new_path(spark)
+    corpus.chat_split_sink(_chats(spark, sf_dir).select(export.chat_split(split).alias("split"), chat.alias("messages")), path)
+    rows = corpus.record_scan(spark, path, "messages array<struct<role: string, content: string>>, split string")
     return rows.groupBy("split").agg(F.count("*").alias("chats"), F.sum(F.size("messages")).alias("messages"))
 
 

@@ -142,19 +142,23 @@ def chat_split_sink(chats: DataFrame, path: str) -> None:
     chats.select(renamed.alias("split"), "messages").write.partitionBy("split").mode("overwrite").json(path)
 
 
+def new_path(spark: SparkSession, folder: str | None = None) -> str:
+    """A fresh path below `folder`, or below the shared folder of `spark.checkpoint.dir`, or where that
+    is unset below the warehouse, which executors share too. It is deleted when Python ends."""
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    path = f"{folder.rstrip('/')}/mendset-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialized(rows: DataFrame, folder: str | None = None) -> DataFrame:
     """Write rows as a table once and read them back, for plans that use them several times.
 
-    The table goes to `folder`, or to the shared folder of `spark.checkpoint.dir`, or where that is
-    unset to a folder of the warehouse, which executors share too; it survives lost executors, and
-    readers get column pruning. It is deleted when Python ends.
+    The table lies at a `new_path`: it survives lost executors, and readers get column pruning.
     """
-    spark = rows.sparkSession
-    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
-    path = f"{folder.rstrip('/')}/mendset-{uuid.uuid4().hex}"
+    path = new_path(rows.sparkSession, folder)
     rows.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
