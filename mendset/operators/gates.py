@@ -63,6 +63,17 @@ def change_ratio_gate(pairs: DataFrame, gold: str, broken: str, most: float = MA
     return possible.withColumn("changed_lines", changed_lines(gold, broken)).filter(ratio <= most)
 
 
+def line_bag_gate(pairs: DataFrame, key: str, gold: str, broken: str, most: float = MAX_CHANGED) -> DataFrame:
+    """The native change gate: key and changed_lines of pairs whose bags of lines differ by a small share.
+
+    Lines that only moved count as unchanged; everything stays in the JVM, linear in the texts.
+    """
+    total = F.greatest(line_count(F.col(gold)), F.lit(1)).alias("total")
+    changes = line_changes(pairs, key, gold, broken).select(key, (F.col("added") + F.col("removed")).alias("changed_lines"))
+    rows = pairs.select(key, total).join(changes, key)
+    return rows.filter(F.col("changed_lines") / F.col("total") <= most).select(key, "changed_lines")
+
+
 def empty_gate(pairs: DataFrame, broken: str) -> DataFrame:
     return pairs.filter(~is_blank(F.col(broken)))
 

@@ -9,7 +9,8 @@ from mendset.functions.text import fence_strip as strip_fences
 from mendset.operators import checks, gates, validation
 from mendset.operators.inject import agentic_edits, prepare
 from mendset.operators.structure_hcl import resource_table
-from mendset.plans.base import BLOCKS, HCL, TPL, WHITESPACE_SQL, longs, query, table
+from mendset.plans.base import LINE_COUNT_SQL, BLOCKS, HCL, TPL, WHITESPACE_SQL, longs, query, table
+from mendset.sources.corpus import materialized
 from mendset.sources.rendered import hcl_configs, template_configs
 
 # ---- 2.7 gates, on the turns of conversations
@@ -72,6 +73,19 @@ def line_changes(spark, sf_dir):
     return rows.select("key.conv_id", "key.turn", "added", "removed")
 
 
+@query(
+    "line_bag_gate",
+    f"""WITH {_PAIRS}, l AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line, -1 AS sign FROM pairs
+UNION ALL SELECT conv_id, turn, unnest(string_split(regexp_replace(response, '\n$', ''), chr(10))), 1 FROM pairs),
+n AS (SELECT conv_id, turn, line, abs(sum(sign)) AS net FROM l GROUP BY ALL), c AS (SELECT conv_id, turn, sum(net)::BIGINT AS changed_lines FROM n GROUP BY ALL)
+SELECT c.conv_id, c.turn, changed_lines FROM c JOIN pairs p ON p.conv_id = c.conv_id AND p.turn = c.turn
+WHERE changed_lines / greatest({LINE_COUNT_SQL.format(t="p.text")}, 1) <= 0.2""",
+)
+def line_bag_gate(spark, sf_dir):
+    keyed = _pairs(spark, sf_dir).withColumn("key", F.struct("conv_id", "turn"))
+    return gates.line_bag_gate(keyed, "key", "text", "response").select("key.conv_id", "key.turn", "changed_lines")
+
+
 @query("agentic_edits")
 def agentic_edits_query(spark, sf_dir):
     rows = _pairs(spark, sf_dir).select(
@@ -165,6 +179,7 @@ def check_report(spark, sf_dir):
     requested = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
     verdicts = _verdicts(spark, sf_dir).select("path", "valid", "errors", "warnings")
     report = validation.check_report(requested, verdicts, "path")
+    report = materialized(report)  # read for the rows and for the flag
     flagged = report.withColumn("any_fail", validation.any_failure(report).scalar())
     return longs(flagged, "n_errors", "n_warnings")
 
@@ -172,10 +187,10 @@ def check_report(spark, sf_dir):
 # ---- 2.8 static checks, on corpora with known slips put in by plain replacement
 
 
-def _findings(spark, sf_dir, family: str, slip: str, rule) -> DataFrame:
+def _findings(spark, sf_dir, family: str, slip: str, rule, parsed: bool = True) -> DataFrame:
     source = hcl_configs if family == "hcl" else template_configs
     texts = source(spark, sf_dir).select("doc_id", F.expr(slip).alias("text"))
-    rows = prepare(texts, family).select("doc_id", F.explode(rule()).alias("f"))
+    rows = (prepare(texts, family) if parsed else texts).select("doc_id", F.explode(rule()).alias("f"))
     return rows.select("doc_id", "f.code", "f.message")
 
 
@@ -357,7 +372,7 @@ def chk_intrinsics(spark, sf_dir):
 )
 def chk_layout(spark, sf_dir):
     slip = "CASE WHEN doc_id % 4 <> 0 THEN replace(replace(text, '    Type: AWS', concat(chr(9), 'Type: AWS')), '\"Outputs\": {', '\"Outputs\": {,') ELSE text END"
-    return _findings(spark, sf_dir, "template", slip, lambda: checks.layout(F.col("text")))
+    return _findings(spark, sf_dir, "template", slip, lambda: checks.layout(F.col("text")), parsed=False)
 
 
 @query(
