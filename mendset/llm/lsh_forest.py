@@ -15,7 +15,8 @@ texts are linked where the sets' Jaccard similarity is THRESHOLD or more.
 5. Classes are the components of the verified links.
 
 Null texts and texts without words have no runs and are linked to none. Repeated rows count as
-copies. Rows of one id with different texts are different documents. An empty table gives none.
+copies. Rows of one id with different texts are different documents. A null id counts as the least; a
+class it stands for has the class id null. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -260,9 +261,10 @@ class Joined:
         nodes = self.nodes.join(self.classes, "node", "left")
         full = self.docs.drop("row", "keys", "runs").join(nodes, ["h1", "h2", "size"])
         spoken = F.col("n_runs") > 0
+        class_id = F.coalesce("class_id", "rep")
         return full.select(
             "doc_id", "h1", "h2", "size", "node", "rep",
-            F.when(spoken, F.coalesce("class_id", "rep")).otherwise(F.col("doc_id")).alias("class_id"),
+            F.when(spoken, F.when(class_id != -(1 << 63), class_id)).otherwise(F.col("doc_id")).alias("class_id"),
             F.coalesce("kept", "node").alias("kept"), spoken.alias("spoken"),
             F.when(spoken, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"),
         )

@@ -78,6 +78,7 @@ def test_repeated_rows_nulls_and_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id int, text string, class_id string")
     got = sorted(map(tuple, lsh_forest.join(docs).filter("doc_id is not null").collect()))
     assert got == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0), (4, 4, 0)]
+    assert [r.class_id for r in lsh_forest.join(docs).filter("doc_id is null").collect()] == [None]
     left = lsh_forest.one_of_each(docs)
     assert left.columns == docs.columns and left.schema == docs.schema
     assert sorted(map(str, (r.doc_id for r in left.collect()))) == ["1", "3", "4", "None"]
