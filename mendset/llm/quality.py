@@ -3,8 +3,9 @@
 Column expressions measure every whole text; rules turn the measures into votes (keep, reject) or
 abstain. The latent quality of a document is good or bad; each rule has two accuracies, its chance to
 vote keep on a good document and reject on a bad one. Expectation-maximisation estimates them and the
-share of good documents from all documents, by way of the counts of vote patterns: with RULES rules
-there are at most 3 ** RULES patterns, whatever the corpus holds. A document is kept where the
+share of good documents from all documents, by way of the counts of vote patterns: Spark counts them,
+and the driver iterates over the counts, of which nine rules leave at most 3 ** 9, whatever the corpus
+holds. A document is kept where the
 posterior probability of good quality is at least a half and no base rule fails.
 
 Words are runs of characters other than 0x20 and 0x09-0x0D. Null texts count as empty: no words, so
@@ -132,6 +133,12 @@ class Trust:
     def __init__(self, share: float, good: list[float], bad: list[float]):
         self.share, self.good, self.bad = share, good, bad
 
+    def posterior(self, votes: str) -> float:
+        odds = math.log(self.share / (1 - self.share))
+        for vote, g, b in zip(votes, self.good, self.bad):
+            odds += {"0": 0.0, "1": math.log(g / (1 - b)), "2": math.log((1 - g) / b)}[vote]
+        return 1 / (1 + math.exp(-odds))
+
     def log_odds(self, votes: Column) -> Column:
         """Log odds of good quality given the votes."""
         odds = F.lit(math.log(self.share / (1 - self.share)))
@@ -151,24 +158,25 @@ def _bounded(value: float, bounds: tuple[float, float]) -> float:
 
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> Trust:
-    """EM over (votes, n): each round is one aggregation of the pattern table."""
-    trust = start = begin()
-    m = len(start.good)
+    """EM over the pattern counts (votes, n), at most 3 ** len(rules()) rows."""
+    rows = [(r.votes, r.n) for r in patterns.collect()]
+    trust = begin()
+    m = len(trust.good)
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-trust.log_odds(F.col("votes"))))
-        good, bad = (p * F.col("n")), ((1 - p) * F.col("n"))
-        sums = [F.sum(good).alias("good"), F.sum("n").alias("all")]
-        for j in range(m):
-            digit = F.substring("votes", j + 1, 1)
-            for name, weight, vote in (("gk", good, "1"), ("gr", good, "2"), ("bk", bad, "1"), ("br", bad, "2")):
-                sums.append(F.sum(F.when(digit == vote, weight).otherwise(0.0)).alias(f"{name}{j}"))
-        row = {k: v or 0.0 for k, v in patterns.agg(*sums).first().asDict().items()}
-        share = (row["good"] + STRENGTH * PRIOR) / (row["all"] + STRENGTH)
-        accuracy = lambda right, wrong, prior: _bounded((right + STRENGTH * prior) / (right + wrong + STRENGTH), TRUST)
+        right_wrong = {"good": [[0.0, 0.0] for _ in range(m)], "bad": [[0.0, 0.0] for _ in range(m)]}
+        share, total = STRENGTH * PRIOR, STRENGTH
+        for votes, n in rows:
+            p = trust.posterior(votes)
+            share, total = share + p * n, total + n
+            for j, vote in enumerate(votes):
+                if vote != "0":
+                    right_wrong["good"][j][vote == "2"] += p * n
+                    right_wrong["bad"][j][vote == "1"] += (1 - p) * n
+        accuracy = lambda rw, prior: _bounded((rw[0] + STRENGTH * prior) / (sum(rw) + STRENGTH), TRUST)
         trust = Trust(
-            _bounded(share, SHARE),
-            [accuracy(row[f"gk{j}"], row[f"gr{j}"], ACCURACY_GOOD) for j in range(m)],
-            [accuracy(row[f"br{j}"], row[f"bk{j}"], ACCURACY_BAD) for j in range(m)],
+            _bounded(share / total, SHARE),
+            [accuracy(rw, ACCURACY_GOOD) for rw in right_wrong["good"]],
+            [accuracy(rw, ACCURACY_BAD) for rw in right_wrong["bad"]],
         )
     return trust
 
@@ -185,7 +193,7 @@ def judged(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataF
     names = [*BASE, *MORE, "votes", "base_failed", "p_good", "kept"]
     own = [c for c in docs.columns if c not in names and (keep_text or c != text)]
     table = stored(voted(measured(docs, text)).select(*[F.col(f"`{c}`") for c in own], *BASE, *MORE, "votes"))
-    trust = estimate(stored(patterns(table).coalesce(1)))
+    trust = estimate(patterns(table))
     p = 1 / (1 + F.exp(-trust.log_odds(F.col("votes"))))
     failed = base_failed()
     return table.withColumns({"base_failed": failed, "p_good": p, "kept": ~failed & (p >= 0.5)})
