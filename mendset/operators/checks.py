@@ -20,6 +20,7 @@ from mendset.operators.structure_hcl import (
     variable_refs,
 )
 from mendset.operators.structure_template import intrinsic, node_at, section_names
+from mendset.sources.corpus import materialized
 
 FINDINGS = "array<struct<code:string,message:string>>"
 
@@ -339,6 +340,15 @@ def template_findings(text: Column, nodes: Column) -> Column:
 
 # ---- rules learned from a corpus
 
+LEARNED_ROWS = 200_000  # a learned table up to this size is broadcast; a larger one is shuffled
+
+
+def _learned(table: DataFrame) -> DataFrame:
+    """A learned table, written once and counted: broadcast if it is small, so that a type which
+    fills a third of the corpus never meets in one task; else adaptive execution splits its join."""
+    once = materialized(table)
+    return F.broadcast(once) if once.count() <= LEARNED_ROWS else once
+
 
 def template_type_table(with_nodes: DataFrame) -> DataFrame:
     types = F.filter(
@@ -349,8 +359,8 @@ def template_type_table(with_nodes: DataFrame) -> DataFrame:
 
 
 def unknown_types(resources: DataFrame, known: DataFrame) -> DataFrame:
-    """Resources (doc_id, type, name) whose type no valid config uses. Spark picks the join."""
-    return resources.join(known.select("type").distinct(), "type", "left_anti")
+    """Resources (doc_id, type, name) whose type no valid config uses."""
+    return resources.join(_learned(known.select("type").distinct()), "type", "left_anti")
 
 
 def literal_kind(line: Column) -> Column:
@@ -375,7 +385,7 @@ def _against_majority(found: DataFrame, corpus: DataFrame) -> DataFrame:
     usual = counts.groupBy("type", "attribute").agg(F.max_by("kind", F.struct("n", "kind")).alias("usual_kind"))
     return (
         found.filter(literal)
-        .join(usual, ["type", "attribute"])
+        .join(_learned(usual), ["type", "attribute"])
         .filter(F.col("kind") != F.col("usual_kind"))
         .select("doc_id", "type", "block", "attribute", "kind", "usual_kind")
     )
