@@ -13,6 +13,10 @@ and checksums hold again. Kinds, with what makes a value valid:
 * ip: four numbers up to 255 without leading zeros, none of the unspecified, loopback and broadcast ones
 * email: letters and digits of the local part; the domain is the tweak
 
+A value ends where no digit or letter touches it; a digit beyond a sign of its own layout (a decimal point
+for cards) makes it part of something longer, other signs do not: values stand in lists, time stamps and
+before ports. Where groups of digits follow, the longest valid length counts.
+
 Null texts stay null with no finding; empty texts stay empty; texts without a valid value come back
 unchanged. The number of characters never changes. Repeated rows get equal results.
 """
@@ -185,18 +189,35 @@ def email(m: re.Match, key: bytes) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
-EDGE, STOP = r"(?<![0-9A-Za-z])(?<![0-9][.,:-])", r"(?![0-9A-Za-z])(?![.,:-][0-9])"
+def edged(pattern: str, signs: str = "", letters: str = "A-Za-z") -> str:
+    """The pattern where no digit or letter touches it, nor a digit beyond one of the signs that would
+    make it part of a longer value of its kind."""
+    before, after = (f"(?<![0-9][{signs}])", f"(?![{signs}][0-9])") if signs else ("", "")
+    return f"(?<![0-9A-Za-z]){before}(?:{pattern})(?![0-9{letters}]){after}"
+
+
+def _card(sign: str) -> str:
+    return "[0-9]{4}S[0-9]{4}S[0-9]{4}S[0-9]{1,7}|[0-9]{4}S[0-9]{6}S[0-9]{5}".replace("S", sign)
+
+
+def _date(pattern: str, sign: str) -> str:
+    """A time may follow: T and digits."""
+    return edged(pattern.replace("S", re.escape(sign)), sign, "A-SU-Za-su-z") + "(?![Tt](?![0-9]))"
+
+
+YMD, DMY = "[0-9]{4}S[0-9]{1,2}S[0-9]{1,2}", "[0-9]{1,2}S[0-9]{1,2}S[0-9]{4}"
+PHONE_STOP = r"(?![0-9A-Za-z])(?![.-][0-9])"
 KINDS = [
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,63}(?![A-Za-z0-9-])"), email),
-    ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])"), iban),
-    ("card", re.compile(EDGE + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})" + STOP), card),
-    ("ssn", re.compile(EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + STOP), ssn),
-    ("date", re.compile(EDGE + r"(?:[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4})" + STOP), date),
+    ("iban", re.compile(edged("[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)")), iban),
+    ("card", re.compile(edged("[0-9]{13,19}|" + _card(" "), ".") + "|" + edged(_card("-"), ".-")), card),
+    ("ssn", re.compile(edged("[0-9]{3}-[0-9]{2}-[0-9]{4}", "-")), ssn),
+    ("date", re.compile("|".join(_date(p, sign) for p, sign in ((YMD, "-"), (YMD, "/"), (DMY, "."), (DMY, "/")))), date),
     ("phone", re.compile(
-        r"(?<![0-9A-Za-z+])(?<![0-9][.,:-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})" + STOP
-        + r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,5}" + STOP
-        + r"|(?<![0-9A-Za-z+])\+[0-9]{8,15}" + STOP), phone),
-    ("ip", re.compile(EDGE + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?![.:-][0-9])"), ip),
+        r"(?<![0-9A-Za-z+])(?<![0-9][.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})" + PHONE_STOP
+        + r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,5}" + PHONE_STOP
+        + r"|(?<![0-9A-Za-z+])\+[0-9]{8,15}" + PHONE_STOP), phone),
+    ("ip", re.compile(edged(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", ".")), ip),
 ]
 ANY_DIGIT = re.compile(r"[0-9]")
 
@@ -210,15 +231,19 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[str]]:
         if name == "email" and "@" not in text:
             continue
         taken = sorted((a, b) for a, b, _, _ in found)
-        k = 0
-        for m in pattern.finditer(text):
+        k = at = 0
+        while m := pattern.search(text, at):
             while k < len(taken) and taken[k][1] <= m.start():
                 k += 1
-            if k < len(taken) and taken[k][0] < m.end():
-                continue
-            new = fn(m, key)
+            start, end, free = m.start(), m.end(), taken[k][0] if k < len(taken) else len(text)
+            new = fn(m, key) if end <= free else None
+            while new is None and end > start:  # shorter lengths of the same start, without the last groups
+                end = text.rfind(" ", start, end)
+                shorter = pattern.fullmatch(text, start, end) if start < end <= free else None
+                new = fn(shorter, key) if shorter else None
             if new is not None:
-                found.append((m.start(), m.end(), name, new))
+                found.append((start, end, name, new))
+            at = end if new is not None else start + 1
     out, at = [], 0
     for a, b, _, new in sorted(found):
         out += [text[at:a], new]

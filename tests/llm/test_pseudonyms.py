@@ -55,6 +55,35 @@ def test_rest_stays(text):
     assert pseudonymise(text, KEY) == (text, [])
 
 
+CLOSE = [
+    ("7,4111111111111111", ["card"]),
+    ("4111111111111111,2024-01-02", ["card", "date"]),
+    ("1,4111111111111111,2024-01-02,10.1.2.3,123-45-6789,5", ["card", "date", "ip", "ssn"]),
+    ('{"n":1,"card":[4539578763621486,4111111111111111],"at":"2024-03-05T10:00Z"}', ["card", "card", "date"]),
+    ("2024-03-05T10:00:00.123Z", ["date"]),
+    ("2024-03-05,12", ["date"]),
+    ("10.1.2.3:8080", ["ip"]),
+    ("10.1.2.3-10.1.2.9", ["ip", "ip"]),
+    ("1,555-123-4567,2", ["phone"]),
+    ("ES91 2100 0418 4502 0005 1332 2024", ["iban"]),
+    ("1111 4539 5787 6362 1486", ["card"]),
+    ("+49 30 1234567 20240101", ["phone"]),
+    ("+49 30 1234567 2024-01-02", ["date", "phone"]),
+]
+
+
+@pytest.mark.parametrize("text,kinds", CLOSE)
+def test_values_close_together(text, kinds):
+    new, found = pseudonymise(text, KEY)
+    assert sorted(found) == kinds and len(new) == len(text)
+    assert [c.isdigit() for c in new] == [c.isdigit() for c in text]
+
+
+@pytest.mark.parametrize("text", ["0.4111111111111111", "4111111111111111.5", "2024-03-05Tea", "1-2024-03-05", "1.10.1.2.3", "10.1.2.3.4", "1-123-45-6789"])
+def test_parts_of_longer_values_stay(text):
+    assert pseudonymise(text, KEY) == (text, [])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dates(dt.date(1900, 1, 1), dt.date(2099, 12, 31)))
 def test_dates_stay_dates(day):
