@@ -7,8 +7,9 @@ on held-out labelled URLs by a logistic curve; a URL is blocked where rejection
 
 The models are fitted on a bounded sample of labelled URLs (at most SAMPLE distinct ones of each class, those of
 the smallest hash), which also bounds what is sent to the tasks; every URL is judged by them.
-Hosts and rules are column expressions. Null URLs and such without `://` have empty host and path, fit
-no rule and are judged as an empty string. Equal URLs get equal verdicts. Without labelled URLs of both
+The models read whole URLs, with scheme, query and fragment. Hosts and rules are column expressions. Null
+URLs and such without `://` have empty host and path, fit no rule and, as labels come from hosts, train
+no model; the models judge them as they are written, null as an empty string. Equal URLs get equal verdicts. Without labelled URLs of both
 classes the method allows all.
 """
 
@@ -162,8 +163,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url",
     """
     host, path = host_and_path(F.col(url))
     rule, by_rule = longest_rule(host, path, rules)
-    text = F.concat(host, path)
-    model = fit(pages, text, weak_label(host, terms))
+    text = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    model = fit(pages.filter(host != ""), text, weak_label(host, terms))
 
     @F.arrow_udf("double")
     def rejection(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -52,6 +52,16 @@ def test_query(spark, sf):
         assert r.verdict == (action or ("block" if spam else "allow"))
 
 
+def test_whole_urls_are_judged(spark):
+    good = [f"http://www.{w}.example.org/en/{i}?page={w}" for i, w in enumerate(["garden", "letters", "museum", "weather", "physics"] * 40)]
+    bad = [f"http://{a}-{b}.example.org/en/{i}?u={b}-{a}" for i, (a, b) in enumerate([("casino", "win"), ("win", "bets"), ("free", "casino"), ("bets", "now")] * 40)]
+    odd = ["http://www.garden.example.org/out?page=museum", "http://www.garden.example.org/out?u=casino-win-bets-casino-free-casino",
+           "www.museum.example.org/en/7?page=garden", "free-bets-casino.example.org/en/7?u=bets-casino"]
+    pages = spark.createDataFrame(list(enumerate([*odd, *good, *bad, None])), "page_id int, url string")
+    p = {r.page_id: r.p_block for r in urls.judged(pages, []).collect()}
+    assert p[0] < p[1] and p[2] < 0.5 < p[3] and p[len(odd) + len(good) + len(bad)] is not None
+
+
 def test_held_out_hosts():
     good = [f"www.{w}.example.org/en/{i}.html" for i, w in enumerate(["garden", "letters", "museum", "weather", "physics"] * 40)]
     bad = [f"{a}-{b}.example.org/en/{i}" for i, (a, b) in enumerate([("casino", "win"), ("win", "bets"), ("free", "casino"), ("bets", "now")] * 40)]
