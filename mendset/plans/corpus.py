@@ -34,7 +34,7 @@ def corpus_scan(spark, sf_dir):
 def record_scan(spark, sf_dir):
     """The events as JSON lines, written and scanned with fewer and more columns than they have."""
     path = corpus.new_path(spark)
-    line = F.concat(F.lit('{"event_id":'), F.col("event_id"), F.lit(',"unknown":[1],'), F.substring("props", 2, 1 << 20))
+    line = F.concat(F.lit('{"event_id":'), F.col("event_id"), F.lit(',"unknown":[1],'), F.substring("props", F.lit(2), F.length("props")))
     table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
     return corpus.record_scan(spark, path, "event_id bigint, k bigint, note string")
 
