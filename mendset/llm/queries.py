@@ -9,11 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendset.llm import chunks, class_lm, decontaminate, histogram_sort, licenses, lsh_forest, pieces, pseudonyms, quality, urls
+from mendset.llm import chunks, class_lm, decontaminate, hard_negatives, histogram_sort, lattice, licenses, lsh_forest, phrases, pieces, pseudonyms, quality, urls
+from mendset.llm.cross_sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
@@ -103,3 +103,21 @@ DEMO_KEY = b"mendset demonstration key"
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymised(docs, DEMO_KEY, kinds="kinds")
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings"), label=moved)
+    return hard_negatives.mined(rows, F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.grouped(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
