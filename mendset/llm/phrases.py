@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from mendset.llm.tables import stored
 
 LONGEST, TRIGGER, EVERY = 4, 3, 16  # words of a phrase, of a trigger; mean words of a chunk
 FILTER = 1 << 27
+SLICE = 6 << 20  # bytes that a task works on at a time
+BUCKET = 1 << 21  # words whose pairs are counted together, about
 SALTS = 16
 STOP = np.zeros(256, bool)
 STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -39,20 +42,23 @@ SPACE, LINE = 0x20, 0x0A  # in chunks: between words of a piece, between pieces
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: its text, first byte, the byte after its last, and whether it opens a piece."""
-    none = np.zeros(0, np.int64)
+    """Of each word: its text, first byte, the byte after its last, and whether it opens a piece. A word
+    ends at a gap: each text must end with one."""
     if not len(data):
+        none = np.zeros(0, np.int64)
         return none, none, none, none.astype(bool)
-    inside = ~GAP[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(inside & (~np.append(False, inside[:-1]) | edge[:-1]))
-    ends = np.flatnonzero(inside & (~np.append(inside[1:], False) | edge[1:])) + 1
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    stops = np.append(0, np.cumsum(STOP[data]))  # stops before a byte
+    gap = GAP[data]
+    turn = np.empty(len(data), bool)
+    turn[0] = not gap[0]
+    np.not_equal(gap[1:], gap[:-1], out=turn[1:])
+    edges = np.flatnonzero(turn)
+    starts, ends = edges[::2], edges[1::2]
+    counts = np.diff(np.searchsorted(starts, offsets))
     opens = np.ones(len(starts), bool)
-    opens[1:] = (stops[starts[1:]] > stops[starts[:-1]]) | (doc[1:] != doc[:-1])
-    return doc, starts, ends, opens
+    opens[1:] = np.diff(np.searchsorted(np.flatnonzero(STOP[data]), starts)) > 0
+    first = np.cumsum(counts) - counts
+    opens[first[counts > 0]] = True
+    return np.repeat(np.arange(len(counts)), counts), starts, ends, opens
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,17 +74,21 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def parsed(texts: pa.Array, langs: pa.Array) -> pa.RecordBatch:
-    """lang, skip (words of overlap), chunk, n: the chunks of some texts, equal ones added up."""
+    """lang, skip (words of overlap), chunk, n: the chunks of some texts, equal ones added up. Each text
+    ends with a line end, and so does each chunk."""
     data, offsets = text_bytes(texts)
     data = LOWER[data]
     doc, starts, ends, opens = words(data, offsets)
     hashes = word_hashes(data, starts, ends)
     n = len(doc)
-    # every word followed by one mark: a space, or a line end where the next one opens a piece
-    plain, at = gathered(np.append(data, np.uint8(SPACE)), np.stack([starts, np.full(n, len(data))], 1).ravel(), np.stack([ends, np.full(n, len(data) + 1)], 1).ravel())
-    begin, end = at[:-1:2], at[1::2]
-    if n:
-        plain[end] = np.where(np.append(opens[1:], True), LINE, SPACE)
+    # every word is followed by one mark: a space, or a line end where the next one opens a piece
+    size = ends - starts + 1
+    end = np.cumsum(size)
+    begin = end - size
+    keep = ~GAP[data]
+    keep[ends] = True
+    plain = data[keep]
+    plain[end - 1] = np.where(np.append(opens[1:], True)[:n], np.uint8(LINE), np.uint8(SPACE))
     joint, seen = np.zeros(n, np.uint64), np.zeros(n, bool)
     if n >= TRIGGER:
         seen[TRIGGER - 1 :] = doc[TRIGGER - 1 :] == doc[: n - TRIGGER + 1]
@@ -87,19 +97,22 @@ def parsed(texts: pa.Array, langs: pa.Array) -> pa.RecordBatch:
     last = (seen & (joint % np.uint64(EVERY) == 0)) | np.append(doc[1:] != doc[:-1], True)[:n]
     stop = np.flatnonzero(last)
     body = np.append(0, stop[:-1] + 1)[: len(stop)]
-    skip = np.where(np.append(True, doc[body[1:]] != doc[body[1:] - 1])[: len(body)], 0, TRIGGER) if len(body) else body
-    chunk = strings(*gathered(plain, begin[body - skip], end[stop]))
-    names = pa.chunked_array([langs]).combine_chunks().take(pa.array(doc[stop]))
-    table = pa.table({"lang": names.cast(pa.large_string()), "skip": skip.astype(np.int32), "chunk": chunk})
+    follows = np.append(False, doc[body[1:]] == doc[body[1:] - 1])[: len(body)]
+    skip = np.where(follows, TRIGGER, 0)
+    overlap = strings(*gathered(plain, begin[body - skip], begin[body]))
+    plain[end[stop] - 1] = LINE
+    chunk = pc.binary_join_element_wise(overlap, strings(plain, np.append(0, end[stop])), pa.scalar("", pa.large_string()))
+    names = langs.take(pa.array(doc[stop])).cast(pa.large_string())
+    table = pa.table({"lang": names, "skip": skip.astype(np.int32), "chunk": chunk})
     table = table.group_by(["lang", "skip", "chunk"]).aggregate([([], "count_all")])
     return table.rename_columns(["lang", "skip", "chunk", "n"]).combine_chunks()
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("lang", pa.string()), ("skip", pa.int32()), ("chunk", pa.string()), ("n", pa.int64())])
     for batch in batches:
-        for a, b in slices(batch["text"], 16 << 20):
+        for a, b in slices(batch["text"], SLICE):
             table = parsed(batch["text"].slice(a, b - a), batch["lang"].slice(a, b - a))
-            schema = pa.schema([("lang", pa.string()), ("skip", pa.int32()), ("chunk", pa.string()), ("n", pa.int64())])
             yield from table.cast(schema).to_batches()
 
 
@@ -117,7 +130,8 @@ class Dictionary:
         chunk, self.starts, self.ends, self.opens = words(self.data, offsets)
         self.code = codes[chunk]
         self.weight = np.asarray(batch["n"])[chunk]
-        first = np.searchsorted(chunk, np.arange(batch.num_rows))
+        size = np.bincount(chunk, minlength=batch.num_rows)
+        first = np.cumsum(size) - size
         self.place = np.arange(len(chunk)) - first[chunk]  # of the word in its chunk
         self.counted = self.place >= np.asarray(batch["skip"])[chunk]
         self.hash = mix(word_hashes(self.data, self.starts, self.ends) + self.lang_hash[self.code]) if len(chunk) else np.zeros(0, np.uint64)
@@ -141,7 +155,7 @@ def _summed(langs: pa.Array, phrase: pa.Array, n: np.ndarray, extra: dict[str, n
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[Dictionary]:
     for batch in batches:
-        for a, b in slices(batch["chunk"], 16 << 20):
+        for a, b in slices(batch["chunk"], SLICE):
             yield Dictionary(batch.slice(a, b - a))
 
 
@@ -159,29 +173,30 @@ class Filter:
         self.bits = bits
 
     @staticmethod
-    def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.uint64(FILTER - 1)
+    def places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.uint64(size - 1)
         return hashes & bits, (hashes >> np.uint64(32)) & bits
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        a, b = self.places(hashes)
+        a, b = self.places(hashes, 64 * len(self.bits))
         get = lambda x: (self.bits[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1)
         return (get(a) & get(b)).astype(bool)
 
     @staticmethod
     def of(hashes: DataFrame) -> Filter:
-        """From one bigint column; at most FILTER bits come to the driver."""
+        """From one column of hashes; FILTER bits at most come to the driver."""
+        size = FILTER
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = np.concatenate(Filter.places(np.asarray(batch[0]).view(np.uint64)))
+                at = np.concatenate(Filter.places(np.asarray(batch[0]).view(np.uint64), size))
                 at = np.unique(at)
                 slot, first = np.unique(at >> np.uint64(6), return_index=True)
                 word = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
                 yield pa.record_batch([pa.array(slot.astype(np.int64)), pa.array(word.view(np.int64))], names=["slot", "word"])
 
         found = hashes.mapInArrow(mark, "slot bigint, word bigint").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
-        bits = np.zeros(FILTER // 64, np.uint64)
+        bits = np.zeros(size // 64, np.uint64)
         bits[found["slot"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
         return Filter(bits)
 
@@ -190,20 +205,60 @@ def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ones = pa.array(np.ones(batch.num_rows, np.int64))
         skip = pa.array(np.zeros(batch.num_rows, np.int32))
-        some = Dictionary(pa.record_batch([batch["lang"], skip, batch["phrase"], ones], names=["lang", "skip", "chunk", "n"]))
+        ended = pc.binary_join_element_wise(batch["phrase"], "\n", "")
+        some = Dictionary(pa.record_batch([batch["lang"], skip, ended, ones], names=["lang", "skip", "chunk", "n"]))
         yield pa.record_batch([pa.array(some.hash.view(np.int64))], names=["hash"])
 
 
-def _pairs(known):
+def _added(hashes: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(n), len(found)).astype(np.int64)
+
+
+def _pairs(known, buckets: int):
+    """bucket, hashes, counts: the pairs of frequent words, by their hashes, dealt to buckets as arrays."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = Filter(known.value)
         for some in _entries(batches):
             frequent = common.holds(some.hash)
             use = some.counted & some.after & frequent
             use[1:] &= frequent[:-1]
-            pair, at = np.unique(some.pair()[use], return_inverse=True)
-            n = np.bincount(at, some.weight[use], len(pair)).astype(np.int64)
-            yield pa.record_batch([pa.array(pair.view(np.int64)), pa.array(n)], names=["hash", "n"])
+            pair, n = _added([some.pair()[use]], [some.weight[use]])
+            bucket = (pair >> np.uint64(40)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, first = np.unique(bucket[order], return_index=True)
+            at = pa.array(np.append(first, len(order)).astype(np.int32))
+            hashes, counts = (pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (pair.view(np.int64), n))
+            yield pa.record_batch([pa.array(bucket.astype(np.int64)), hashes, counts], names=["bucket", "hashes", "counts"])
+
+    return run
+
+
+def _frequent(least: int):
+    """The hashes of a bucket that occur often enough; rows are sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hashes, counts, size = None, [], [], 0
+
+        def often() -> pa.RecordBatch:
+            found, n = _added(hashes, counts)
+            return pa.record_batch([pa.array(found[n >= least].view(np.int64))], names=["hash"])
+
+        for batch in batches:
+            for bucket, h, n in zip(batch["bucket"].to_pylist(), batch["hashes"], batch["counts"]):
+                if bucket != now and hashes:
+                    yield often()
+                    hashes, counts, size = [], [], 0
+                now = bucket
+                hashes.append(h.values.to_numpy())
+                counts.append(n.values.to_numpy())
+                size += len(hashes[-1])
+                if size > 2 * BUCKET:  # equal pairs of many tasks become one
+                    hashes, counts = ([x] for x in _added(hashes, counts))
+                    size = -len(hashes[0])
+        if hashes:
+            yield often()
 
     return run
 
@@ -238,7 +293,8 @@ def frequencies(docs: DataFrame, least: int, text: str = "text", lang: str = "la
     """lang, phrase, words, n of all phrases of up to LONGEST words that occur `least` times or more in
     their language; and lang, n: the words of each language."""
     context = docs.sparkSession.sparkContext
-    spoken = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
+    ended = F.concat(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("\n"))
+    spoken = docs.select(ended.alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     chunks = spoken.mapInArrow(_parse, "lang string, skip int, chunk string, n bigint")
     entries = stored(chunks.groupBy("lang", "skip", "chunk").agg(F.sum("n").alias("n")))
     counted = entries.mapInArrow(_words, "lang string, phrase string, n bigint")
@@ -246,8 +302,10 @@ def frequencies(docs: DataFrame, least: int, text: str = "text", lang: str = "la
     totals = single.groupBy("lang").agg(F.sum("n").alias("n"))
     often = single.filter(F.col("n") >= least)
     known = context.broadcast(Filter.of(often.mapInArrow(_word_hashes, "hash bigint")).bits)
-    pair = entries.mapInArrow(_pairs(known), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    pairs = context.broadcast(Filter.of(pair.filter(F.col("n") >= least).select("hash")).bits)
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    dealt = entries.mapInArrow(_pairs(known, 1 + total // BUCKET), "bucket bigint, hashes array<bigint>, counts array<bigint>")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    pairs = context.broadcast(Filter.of(dealt.mapInArrow(_frequent(least), "hash bigint")).bits)
     found = entries.mapInArrow(_phrases(known, pairs), "lang string, phrase string, words int, n bigint")
     longer = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return stored(often.select("lang", "phrase", F.lit(1).alias("words"), "n").unionByName(longer)), totals

@@ -82,16 +82,18 @@ def test_no_rows(spark):
 def test_small_filters_change_nothing(spark, monkeypatch):
     rows = corpus(2, 200)
     monkeypatch.setattr(phrases, "FILTER", 64)  # lets nearly everything through
+    monkeypatch.setattr(phrases, "BUCKET", 64)
     assert mined(spark, rows, 4) == plain(rows, 4)
 
 
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text("ab .\n\tcdé", max_size=200), max_size=6))
 def test_each_phrase_belongs_to_one_chunk(texts):
-    batch = phrases.parsed(pa.array(texts, pa.string()), pa.array(["x"] * len(texts), pa.string()))
+    batch = phrases.parsed(pa.array([t + "\n" for t in texts], pa.string()), pa.array(["x"] * len(texts), pa.string()))
     found = Counter()
     for skip, chunk, n in zip(batch["skip"].to_pylist(), batch["chunk"].to_pylist(), batch["n"].to_pylist()):
-        pieces = [p.split(" ") for p in chunk.split("\n")]
+        assert chunk.endswith("\n")
+        pieces = [p.split(" ") for p in chunk[:-1].split("\n")]
         at = 0
         for w in pieces:
             for i in range(len(w)):
@@ -105,7 +107,7 @@ def test_each_phrase_belongs_to_one_chunk(texts):
 def test_chunks_follow_content():
     draw = random.Random(4)
     same = " ".join(f"w{draw.randrange(900)}" for _ in range(3000))
-    chunks = lambda t: set(phrases.parsed(pa.array([t]), pa.array(["x"]))["chunk"].to_pylist())
+    chunks = lambda t: set(phrases.parsed(pa.array([t + "\n"]), pa.array(["x"]))["chunk"].to_pylist())
     one, two = chunks(same), chunks("another start " + same)
     assert len(one & two) >= len(one) - 2
     assert np.mean([len(c.split()) for c in one]) < 3 * phrases.EVERY
