@@ -31,8 +31,8 @@ from mendset.llm.tables import stored
 
 LONGEST, TRIGGER, EVERY = 4, 3, 16  # words of a phrase, of a trigger; mean words of a chunk
 FILTER = 1 << 27
-SLICE = 6 << 20  # bytes that a task works on at a time
-BUCKET = 1 << 21  # words whose pairs are counted together, about
+SLICE = 3 << 20  # bytes that a task works on at a time
+BUCKET = 1 << 19  # words whose pairs are counted together, about
 SALTS = 16
 STOP = np.zeros(256, bool)
 STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True

@@ -86,12 +86,13 @@ def test_recall_at_the_threshold(groups):
     x = draw.normal(size=(n, 48))
     y = np.array([near(draw, v, lattice.COSINE) for v in x])
     u, v = lattice.units(x), lattice.units(y)
-    met, tables = np.zeros(n, bool), math.ceil(math.log(1 - lattice.RECALL) / math.log(1 - lattice.MEETS**groups))
+    met, single, tables = np.zeros(n, bool), [], math.ceil(math.log(1 - lattice.RECALL) / math.log(1 - lattice.MEETS**groups))
     for t in range(tables):
         p, q = lattice.projected(u, t, groups), lattice.projected(v, t, groups)
         once = lattice.within(p, lattice.homes(q)) | lattice.within(q, lattice.homes(p))
-        assert once.mean() > lattice.MEETS**groups - 0.02
+        single.append(once.mean())
         met |= once
+    assert np.mean(single) >= lattice.MEETS**groups
     assert met.mean() >= 0.997
 
 
