@@ -1,8 +1,8 @@
 """Block, attribute and reference spans of brace-structured texts.
 
 All structure of a document is found in its own row, so that neither the text nor its tokens ever
-cross a shuffle. Blocks, their assignments and references come from one linear scan per text
-(functions/braces.py) in Arrow batches; everything built on them is column expressions. The table
+cross a shuffle. Blocks, their assignments and references are found in flat arrays of many texts
+(functions/braces.py), in Arrow batches; everything built on them is column expressions. The table
 forms at the end explode the arrays.
 """
 
@@ -18,23 +18,18 @@ from pyspark.sql import functions as F
 from mendset.functions import braces
 from mendset.functions.text import code_point_slice, let, strip
 
-SPAN = [("start", pa.int32()), ("end", pa.int32())]
-ATTRIBUTE = pa.struct([("name", pa.string()), ("line", pa.int32()), ("start", pa.int32()), ("text", pa.string())])
-BLOCK = pa.struct([("type", pa.string()), ("name", pa.string()), *SPAN, ("line", pa.int32()), ("attrs", pa.list_(ATTRIBUTE))])
-MATCH = pa.struct([("start", pa.int32()), ("found", pa.string())])
-
 # names of the parts of a dotted word; a word starts where none goes on
 VARIABLE_REF = r"var\.(\w+)"
 RESOURCE_REF = r"(?<!\w)(\w+)\.(\w+)\.(\w+)"
 
 
-def _scanned(text: Column, kind: str, item: pa.DataType, scan: Callable[[str | None], list]) -> Column:
-    """array<kind>: what `scan` lists for each text."""
+def _scanned(text: Column, kind: str, scan: Callable[[pa.Array], pa.Array]) -> Column:
+    """array<kind>: what `scan` lists for each text, found for many texts at once."""
 
     @F.arrow_udf(f"array<{kind}>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([scan(t) for t in texts.to_pylist()], pa.list_(item))
+            yield pa.concat_arrays([scan(some) for some in braces.slices(texts)] or [scan(texts)])
 
     return found(text)
 
@@ -55,9 +50,8 @@ def _blank_quotes(segment: Column, comments: bool) -> Column:
 
 def block_spans(text: Column, kind: str, label: str | None = None) -> Column:
     """array<struct<start,end>> of `kind ... {...}` blocks; quoted text and # comments skipped."""
-    blocks = braces.Blocks(braces.kind_header(kind, label), comments=True)
-    scan = lambda t: [{"start": a, "end": b} for a, b in blocks.find(t or "")]
-    return _scanned(text, "struct<start:int,end:int>", pa.struct(SPAN), scan)
+    pattern = braces.header_pattern(braces.kind_header(kind, label))
+    return _scanned(text, "struct<start:int,end:int>", lambda t: braces.block_spans(t, pattern, comments=True))
 
 
 def resource_spans(text: Column) -> Column:
@@ -65,10 +59,9 @@ def resource_spans(text: Column) -> Column:
 
     `line` is the number of the block's first line, `attrs` are its own assignments.
     """
-    blocks = braces.Blocks(braces.RESOURCE, comments=False)
     attrs = "array<struct<name:string,line:int,start:int,text:string>>"
     kind = f"struct<type:string,name:string,start:int,end:int,line:int,attrs:{attrs}>"
-    return _scanned(text, kind, BLOCK, lambda t: braces.resources(blocks, t))
+    return _scanned(text, kind, braces.resource_spans)
 
 
 def newlines(text: Column) -> Column:
@@ -92,7 +85,7 @@ def attribute_line(text: Column, block: Column, name: str) -> Column:
 
 def _matches(text: Column, pattern: str) -> Column:
     compiled = re.compile(pattern)
-    return _scanned(text, "struct<start:int,found:string>", MATCH, lambda t: braces.matches(compiled, t))
+    return _scanned(text, "struct<start:int,found:string>", lambda t: braces.matches(t, compiled))
 
 
 def variable_refs(text: Column) -> Column:
