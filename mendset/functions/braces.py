@@ -22,6 +22,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 4 << 20  # bytes worked on at a time; a longer text is worked on alone
 BREAK, NEWLINE = 0xFF, 0x0A  # between texts; no byte of UTF-8 is 0xFF
@@ -294,3 +295,26 @@ def matches(texts: pa.Array, pattern: re.Pattern) -> pa.Array:
     text = np.searchsorted(begin, start, "right") - 1
     fields = [pa.array((start - begin[text]).astype(np.int32)), pa.array([f[1] for f in found], pa.string())]
     return lists(np.bincount(text, minlength=some.n), pa.StructArray.from_arrays(fields, ["start", "found"]))
+
+
+DEPENDS = re.compile(rb"depends_on\s*=\s*\[([^\]]*)\]")
+TARGET = re.compile(rb"\w+\.\w+")
+
+
+def dependencies(texts: pa.Array) -> pa.Array:
+    """list<struct<src,dst>> of a slice of texts: what resource blocks say that they depend on."""
+    some = Texts(texts)
+    found = some.blocks(RESOURCE, comments=False)
+    lists_ = np.array([m.start() for m in DEPENDS.finditer(some.data.tobytes())], np.int64)
+    block, dst = [], []
+    # blocks that hold such a list; a list of an inner block is one of the outer block, too
+    for k in np.flatnonzero(np.searchsorted(lists_, found.end) > np.searchsorted(lists_, found.start)):
+        for m in DEPENDS.finditer(some.data[found.start[k] : found.end[k]].tobytes()):
+            targets = TARGET.findall(m[1])
+            block += [k] * len(targets)
+            dst += targets
+    block = np.array(block, np.int64)
+    names = (spans(some.data, found.labels[block, k], found.labels[block, k + 1]) for k in (0, 2))
+    src = pc.binary_join_element_wise(*names, ".")
+    items = pa.StructArray.from_arrays([src, pa.array(dst, pa.binary()).cast(pa.string())], ["src", "dst"])
+    return lists(np.bincount(found.text[block], minlength=some.n), items)

@@ -7,9 +7,14 @@ learn from a corpus (`unknown_types`, `type_drift`) aggregate and join.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
+from mendset.functions import braces as scan
+from mendset.functions import graphs
 from mendset.functions.text import code_point_slice, let, strip
 from mendset.operators.faults_hcl import REQUIRED_ARGUMENTS
 from mendset.operators.faults_template import ENCRYPTION_PROPERTIES, REQUIRED_PROPERTIES
@@ -111,35 +116,14 @@ def literals(text: Column) -> Column:
     )
 
 
-def _cyclic(edges: Column) -> Column:
-    """Does array<struct<src,dst>> hold a cycle? Edges to nodes without a way out are dropped until
-    nothing changes; what is left leads in circles."""
+@F.arrow_udf(BooleanType())
+def _text_cyclic(texts: pa.Array) -> pa.Array:
+    parts = [graphs.cyclic(scan.dependencies(some)) for some in scan.slices(texts)]
+    return pa.array(np.concatenate([np.zeros(0, bool), *parts]))
 
-    def trim(state: Column, _: Column) -> Column:
-        e = state["edges"]
-        kept = let(
-            F.transform(e, lambda x: x["src"]),
-            lambda sources: F.filter(e, lambda x: F.array_contains(sources, x["dst"])),
-        )
-        shrunk = let(kept, lambda k: F.struct(k.alias("edges"), (F.size(k) == F.size(e)).alias("stable")))
-        return F.when(state["stable"], state).otherwise(shrunk)
-
-    rounds = F.sequence(F.lit(1), F.greatest(F.size(edges), F.lit(1)))
-    start = F.struct(edges.alias("edges"), (F.size(edges) == 0).alias("stable"))
-    return F.size(F.aggregate(rounds, start, trim, lambda s: s["edges"])) > 0
-
-
-def cycle(text: Column, blocks: Column) -> Column:
-    def edges_of(b):
-        body = code_point_slice(text, b["start"], b["end"])
-        lists = F.array_join(F.regexp_extract_all(body, F.lit(r"depends_on\s*=\s*\[([^\]]*)\]"), F.lit(1)), ",")
-        targets = F.regexp_extract_all(lists, F.lit(r"(\w+\.\w+)"), F.lit(1))
-        return F.transform(
-            targets, lambda t: F.struct(F.concat_ws(".", b["type"], b["name"]).alias("src"), t.alias("dst"))
-        )
 
-    edges = F.array_distinct(F.flatten(F.transform(blocks, edges_of)))
-    return let(edges, lambda e: _when(_cyclic(e), "E009", F.lit("Dependency cycle")))
+def cycle(text: Column) -> Column:
+    return _when(_text_cyclic(text), "E009", F.lit("Dependency cycle"))
 
 
 def provider(text: Column, blocks: Column) -> Column:
@@ -182,7 +166,7 @@ def encryption(text: Column, blocks: Column) -> Column:
 def hcl_findings(text: Column, blocks: Column) -> Column:
     return F.concat(
         braces(text), undeclared_var(text), undeclared_resource(text, blocks), required_arguments(text, blocks),
-        literals(text), cycle(text, blocks), provider(text, blocks), open_ingress(text), encryption(text, blocks),
+        literals(text), cycle(text), provider(text, blocks), open_ingress(text), encryption(text, blocks),
     )
 
 
@@ -211,29 +195,38 @@ def dangling_ref(nodes: Column) -> Column:
     )
 
 
-def required_properties(nodes: Column) -> Column:
-    table = F.create_map(
-        *[x for k, v in REQUIRED_PROPERTIES.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]).cast("array<string>"))]
-    )
-    types = F.filter(nodes, lambda n: (F.size(n["path"]) == 3) & (n["path"][0] == "Resources") & (n["key"] == "Type"))
+#: Between the name of a resource and that of its property, where both are one key of a hash set.
+OWNS = "\0"
+
+
+def _resource_types(nodes: Column) -> Column:
+    return F.filter(nodes, lambda n: (F.size(n["path"]) == 3) & (n["path"][0] == "Resources") & (n["key"] == "Type"))
+
+
+def _held(nodes: Column) -> Column:
+    """The properties that resources have, each as one key."""
+    own = lambda p: (F.size(p["path"]) == 4) & (p["path"][0] == "Resources") & (p["path"][2] == "Properties")
+    return F.transform(F.filter(nodes, own), lambda p: F.concat(p["path"][1], F.lit(OWNS), p["key"]))
+
+
+def _wanted(types: Column, table: dict[str, list[str]]) -> Column:
+    """The properties that a table lists for the resources' types, each as one key."""
+    names = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(OWNS + a) for a in v]).cast("array<string>"))])
 
     def of_resource(t):
-        wanted = F.coalesce(F.try_element_at(table, t["value"]), F.array().cast("array<string>"))
-        held = F.transform(
-            F.filter(
-                nodes,
-                lambda p: (F.size(p["path"]) == 4)
-                & (p["path"][0] == "Resources")
-                & (p["path"][1] == t["path"][1])
-                & (p["path"][2] == "Properties"),
-            ),
-            lambda p: p["key"],
-        )
-        return _each(F.array_except(wanted, held), "E005", lambda n: _says("Missing property ", n, " in ", t["path"][1]))
+        ends = F.coalesce(F.try_element_at(names, t["value"]), F.array().cast("array<string>"))
+        return F.transform(ends, lambda end: F.concat(t["path"][1], end))
 
     return F.flatten(F.transform(types, of_resource))
 
 
+def required_properties(nodes: Column) -> Column:
+    """Set operations on keys of resource and property, so the work is linear in the nodes."""
+    missing = F.array_except(_wanted(_resource_types(nodes), REQUIRED_PROPERTIES), _held(nodes))
+    name = lambda key, k: F.substring_index(key, OWNS, k)
+    return _each(missing, "E005", lambda key: _says("Missing property ", name(key, -1), " in ", name(key, 1)))
+
+
 def template_literals(nodes: Column) -> Column:
     bad = F.filter(
         nodes,
@@ -280,16 +273,7 @@ def layout(text: Column) -> Column:
 
 
 def template_cycle(nodes: Column) -> Column:
-    held = F.filter(nodes, lambda n: (F.size(n["path"]) == 3) & (n["path"][0] == "Resources") & (n["key"] == "DependsOn"))
-
-    def edges_of(n):
-        targets = F.when(n["kind"] == "list", F.transform(n["items"], lambda i: i["value"])).otherwise(F.array(n["value"]))
-        return F.transform(targets, lambda t: F.struct(n["path"][1].alias("src"), t.alias("dst")))
-
-    return let(
-        F.array_distinct(F.flatten(F.transform(held, edges_of))),
-        lambda e: _when(_cyclic(e), "E009", F.lit("Dependency cycle")),
-    )
+    return _when(F.exists(nodes, lambda n: n["circular"]), "E009", F.lit("Dependency cycle"))
 
 
 def template_open_ingress(nodes: Column) -> Column:
@@ -311,23 +295,11 @@ def template_open_ingress(nodes: Column) -> Column:
 
 
 def template_encryption(nodes: Column) -> Column:
-    table = F.create_map(
-        *[x for k, v in ENCRYPTION_PROPERTIES.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))]
-    )
-    types = F.filter(nodes, lambda n: (F.size(n["path"]) == 3) & (n["path"][0] == "Resources") & (n["key"] == "Type"))
-
-    def bare(t):
-        wanted = F.try_element_at(table, t["value"])
-        held = F.exists(
-            nodes,
-            lambda p: (F.size(p["path"]) == 4)
-            & (p["path"][1] == t["path"][1])
-            & (p["path"][2] == "Properties")
-            & F.array_contains(wanted, p["key"]),
-        )
-        return wanted.isNotNull() & ~F.coalesce(held, F.lit(False))
-
-    return _each(F.filter(types, bare), "W002", lambda t: _says("No encryption in ", t["path"][1]))
+    types = F.filter(_resource_types(nodes), lambda t: t["value"].isin(*ENCRYPTION_PROPERTIES))
+    covered = F.array_intersect(_wanted(types, ENCRYPTION_PROPERTIES), _held(nodes))
+    covered = F.transform(covered, lambda key: F.substring_index(key, OWNS, 1))
+    bare = F.array_except(F.transform(types, lambda t: t["path"][1]), covered)
+    return _each(bare, "W002", lambda name: _says("No encryption in ", name))
 
 
 def template_findings(text: Column, nodes: Column) -> Column:
@@ -351,10 +323,7 @@ def _learned(table: DataFrame) -> DataFrame:
 
 
 def template_type_table(with_nodes: DataFrame) -> DataFrame:
-    types = F.filter(
-        "nodes", lambda n: (F.size(n["path"]) == 3) & (n["path"][0] == "Resources") & (n["key"] == "Type")
-    )
-    rows = with_nodes.select("doc_id", F.explode(types).alias("n"))
+    rows = with_nodes.select("doc_id", F.explode(_resource_types(F.col("nodes"))).alias("n"))
     return rows.select("doc_id", F.col("n.path")[1].alias("name"), F.col("n.value").alias("type"))
 
 
@@ -405,23 +374,15 @@ def template_type_drift(configs: DataFrame, corpus: DataFrame) -> DataFrame:
     """The same for template properties; both inputs carry `nodes`."""
 
     def kinds(d: DataFrame) -> DataFrame:
-        in_resource = lambda n, size: (F.size(n["path"]) == size) & (n["path"][0] == "Resources")
-        types = F.filter("nodes", lambda n: in_resource(n, 3) & (n["key"] == "Type"))
-        calls = F.transform(
-            F.filter("nodes", lambda n: in_resource(n, 5) & (n["key"].startswith("Fn::") | (n["key"] == "Ref"))),
-            lambda n: F.array_join(F.slice(n["path"], 1, 4), "\n"),
-        )
-        found = F.filter("nodes", lambda n: in_resource(n, 4) & (n["path"][2] == "Properties"))
-        staged = d.select("doc_id", "text", types.alias("types"), calls.alias("calls"), F.explode(found).alias("p"))
+        own = lambda n: (F.size(n["path"]) == 4) & (n["path"][0] == "Resources") & (n["path"][2] == "Properties")
+        staged = d.select("doc_id", "text", F.explode(F.filter("nodes", own)).alias("p"))
         tagged = F.substring("text", F.col("p.start") + 1, F.lit(1)) == "!"
-        called = F.array_contains("calls", F.array_join("p.path", "\n"))
-        own = F.get(F.filter("types", lambda t: t["path"][1] == F.col("p.path")[1]), F.lit(0))["value"]
         return staged.select(
             "doc_id",
-            own.alias("type"),
+            F.col("p.owner_type").alias("type"),
             F.col("p.path")[1].alias("block"),
             F.col("p.key").alias("attribute"),
-            F.when(tagged | called, "expression").otherwise(F.col("p.kind")).alias("kind"),
+            F.when(tagged | F.col("p.called"), "expression").otherwise(F.col("p.kind")).alias("kind"),
         )
 
     return _against_majority(kinds(configs), kinds(corpus))

@@ -14,19 +14,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
+from mendset.functions import graphs
+
 NODE_TYPE = (
     "struct<path:array<string>,key:string,value:string,kind:string,size:int,start:int,end:int,"
     "column:int,flow:boolean,items:array<struct<value:string,kind:string,size:int,start:int,end:int>>,"
-    "cut_start:int,cut_end:int,cut_text:string>"
+    "cut_start:int,cut_end:int,cut_text:string,owner_type:string,called:boolean,circular:boolean>"
 )
 # path     the keys that lead to the node, its own key last; list positions as text
 # kind     str, int, float, bool, null, list, map;  size  number of children of a list or map
 # start/end  the value in the source;  column  of its start;  flow  written inside or as [..] or {..}
 # items    the elements of a list;  cut_*  the edit that deletes the whole entry
+# owner_type  the type of the resource that holds the node;  called  the value is an intrinsic function's
+# circular  a DependsOn of a template in which these lead in circles
 
 
 # texts parsed before their nodes are handed back; keeps few Python objects alive at a time
 PARSE_ROWS = 200
+EDGES = pa.list_(pa.struct([("src", pa.string()), ("dst", pa.string())]))
 SHORTHAND = re.compile(r"!(\w+)\s*")
 
 
@@ -40,6 +45,37 @@ def _compose(text: str):
         return None
 
 
+def _with_owners(rows: list[tuple]) -> list[tuple]:
+    """Add owner_type and called, from one index of the resources and one of the intrinsics."""
+    types: dict[str, str | None] = {}
+    calls = set()
+    for path, key, value, *_ in rows:
+        if path[0] == "Resources":
+            if len(path) == 3 and key == "Type":
+                types.setdefault(path[1], value)
+            elif len(path) == 5 and (key == "Ref" or key.startswith("Fn::")):
+                calls.add((path[1], path[2], path[3]))
+    owned = lambda p: len(p) > 2 and p[0] == "Resources"
+    return [(*r, types.get(r[0][1]) if owned(r[0]) else None, len(r[0]) == 4 and owned(r[0]) and tuple(r[0][1:]) in calls) for r in rows]
+
+
+def _depends(row: tuple) -> bool:
+    return len(row[0]) == 3 and row[0][0] == "Resources" and row[1] == "DependsOn"
+
+
+def _with_circles(found: list[list[tuple]]) -> list[list[tuple]]:
+    """Add circular to the rows of many templates, whose dependencies are followed together."""
+    edges = []
+    for rows in found:
+        own = []
+        for row in filter(_depends, rows):
+            targets = [item[0] for item in row[9]] if row[3] == "list" else [row[2]]
+            own += [{"src": row[0][1], "dst": t} for t in targets]
+        edges.append(own)
+    circles = graphs.cyclic(pa.array(edges, EDGES)).tolist()
+    return [[(*row, circle and _depends(row)) for row in rows] for rows, circle in zip(found, circles)]
+
+
 def _rows(text: str) -> list[tuple]:
     """All map entries of a template in document order, as NODE_TYPE tuples."""
     out: list[tuple] = []
@@ -118,7 +154,7 @@ def _rows(text: str) -> list[tuple]:
     root = _compose(text)
     if root is not None and root.id == "mapping":
         inside(root, [], False, root.start_mark.index)
-    return out
+    return _with_owners(out)
 
 
 def with_nodes(configs: DataFrame) -> DataFrame:
@@ -132,7 +168,7 @@ def with_nodes(configs: DataFrame) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = [_rows(t) if t else [] for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, arrow_type)], [*batch.schema.names, "nodes"]
+                [*batch.columns, pa.array(_with_circles(found), arrow_type)], [*batch.schema.names, "nodes"]
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in configs.schema.fields)
@@ -141,7 +177,7 @@ def with_nodes(configs: DataFrame) -> DataFrame:
 
 def template_nodes(configs: DataFrame) -> DataFrame:
     rows = with_nodes(configs).select("doc_id", F.posexplode("nodes").alias("i", "n"))
-    return rows.select("doc_id", "i", "n.*")
+    return rows.select("doc_id", "i", "n.*").drop("owner_type", "called", "circular")
 
 
 # Intrinsic functions in short and long spelling.
