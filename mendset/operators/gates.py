@@ -68,9 +68,10 @@ def line_bag_gate(pairs: DataFrame, key: str, gold: str, broken: str, most: floa
 
     Lines that only moved count as unchanged; everything stays in the JVM, linear in the texts.
     """
+    whole = pairs.filter(F.length(gold) + F.length(broken) > 0)
     total = F.greatest(line_count(F.col(gold)), F.lit(1)).alias("total")
-    changes = line_changes(pairs, key, gold, broken).select(key, (F.col("added") + F.col("removed")).alias("changed_lines"))
-    rows = pairs.select(key, total).join(changes, key)
+    rows = whole.select(key, total, _bag_difference(F.col(gold), F.col(broken)).alias("d"))
+    rows = rows.select(key, "total", (F.col("d.added") + F.col("d.removed")).alias("changed_lines"))
     return rows.filter(F.col("changed_lines") / F.col("total") <= most).select(key, "changed_lines")
 
 
@@ -90,17 +91,36 @@ def passes_gates(responses: DataFrame, gold: str, response: str) -> DataFrame:
     return change_ratio_gate(similarity_gate(kept, gold, "broken"), gold, "broken")
 
 
+def _bag_difference(gold: Column, broken: Column) -> Column:
+    """struct<added,removed>: the lines of both texts are sorted together and merged, in the row itself."""
+    signed = lambda c, sign: F.transform(split_lines(c), lambda x: F.struct(x.alias("line"), F.lit(sign).alias("sign")))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.lit("").alias("line"), zero.alias("net"), zero.alias("added"), zero.alias("removed"))
+
+    def settled(s: Column) -> tuple[Column, Column]:
+        return s["added"] + F.greatest(s["net"], zero), s["removed"] + F.greatest(-s["net"], zero)
+
+    def merge(s: Column, x: Column) -> Column:
+        same = s["line"] == x["line"]
+        added, removed = settled(s)
+        return F.struct(
+            x["line"].alias("line"),
+            (F.when(same, s["net"]).otherwise(zero) + x["sign"]).alias("net"),
+            F.when(same, s["added"]).otherwise(added).alias("added"),
+            F.when(same, s["removed"]).otherwise(removed).alias("removed"),
+        )
+
+    def finish(s: Column) -> Column:
+        added, removed = settled(s)
+        return F.struct(added.alias("added"), removed.alias("removed"))
+
+    return F.aggregate(F.array_sort(F.concat(signed(gold, -1), signed(broken, 1))), start, merge, finish)
+
+
 def line_changes(pairs: DataFrame, key: str, gold: str, broken: str) -> DataFrame:
-    """Added and removed lines per document, as the difference of two bags of lines."""
-    signed = F.concat(
-        F.transform(split_lines(F.col(gold)), lambda x: F.struct(x.alias("line"), F.lit(-1).alias("sign"))),
-        F.transform(split_lines(F.col(broken)), lambda x: F.struct(x.alias("line"), F.lit(1).alias("sign"))),
-    )
-    net = (
-        pairs.select(key, F.explode(signed).alias("s"))
-        .groupBy(key, F.col("s.line").alias("line")).agg(F.sum("s.sign").alias("net"))
-    )
-    return net.groupBy(key).agg(
-        F.sum(F.greatest("net", F.lit(0))).alias("added"),
-        F.sum(F.greatest(-F.col("net"), F.lit(0))).alias("removed"),
-    )
+    """Added and removed lines of each pair, as the difference of two bags of lines; nothing is shuffled.
+
+    A pair with a null text, or without any line, has no row.
+    """
+    whole = pairs.filter(F.length(gold) + F.length(broken) > 0)
+    return whole.select(key, _bag_difference(F.col(gold), F.col(broken)).alias("d")).select(key, "d.added", "d.removed")

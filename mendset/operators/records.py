@@ -173,24 +173,37 @@ def run_stats(configs: DataFrame, selected: DataFrame, records: DataFrame) -> Da
     )
 
 
-def _as_map(counts: DataFrame, key: str) -> Column:
-    # a distribution has one row per fault, format, source, difficulty or split
-    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "records"))))).scalar()
+def metadata(records: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
+    """One row with the metadata document as columns; `to_json(struct(*))` gives its text.
+
+    One pass: each record yields its values of all dimensions, which are counted together before they are
+    shuffled. Records without a format, source or difficulty are not in that distribution.
+    """
+    named = ["format", "source", "difficulty", "split"]
+    value = lambda dimension, v: F.struct(F.lit(dimension).alias("dimension"), v.alias("value"))
+    values = F.concat(
+        F.array(value("all", F.lit("")), value("gold", F.col("gold_hash")), *[value(c, F.col(c)) for c in named]),
+        F.coalesce(F.transform("fault_types", lambda f: value("fault_type", f)), F.array().cast("array<struct<dimension:string,value:string>>")),
+    )
+    counts = records.select(F.explode(values).alias("v")).filter(F.col("v.value").isNotNull())
+    counts = counts.groupBy("v.dimension", "v.value").agg(F.count("*").alias("records"))
+    of = lambda dimension: F.col("dimension") == dimension
 
+    def as_map(dimension: str) -> Column:
+        # a distribution has one row per fault, format, source, difficulty or split
+        entry = F.when(of(dimension), F.struct("value", "records"))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry)))
 
-def metadata(records: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
-    """One row with the metadata document as columns; `to_json(struct(*))` gives its text."""
-    return records.agg(
-        F.count("*").alias("total_records"), F.countDistinct("gold_hash").alias("total_gold_configs")
-    ).select(
-        "total_records",
-        "total_gold_configs",
-        _as_map(split_counts(records), "split").alias("splits"),
+    splits = F.map_from_entries(
+        F.array(*[F.struct(F.lit(s).alias("split"), F.coalesce(F.sum(F.when(of("split") & (F.col("value") == s), F.col("records"))), F.lit(0).cast("bigint"))) for s in sorted(SPLITS)])
+    )
+    return counts.agg(
+        F.coalesce(F.sum(F.when(of("all"), F.col("records"))), F.lit(0).cast("bigint")).alias("total_records"),
+        F.count_if(of("gold")).alias("total_gold_configs"),
+        splits.alias("splits"),
         F.array(*[F.lit(r) for r in ratios]).alias("ratios"),
-        _as_map(fault_distribution(records), "fault_type").alias("fault_type_distribution"),
-        _as_map(distribution(records, "format"), "format").alias("format_distribution"),
-        _as_map(distribution(records, "source"), "source").alias("source_distribution"),
-        _as_map(distribution(records, "difficulty"), "difficulty").alias("difficulty_distribution"),
+        as_map("fault_type").alias("fault_type_distribution"),
+        *[as_map(c).alias(f"{c}_distribution") for c in named[:3]],
     )
 
 

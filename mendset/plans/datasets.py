@@ -9,11 +9,11 @@ from mendset.functions.text import line_count as count_lines
 from mendset.operators import curation, records
 from mendset.operators.inject import HCL_FAULTS, TEMPLATE_FAULTS, inject
 from mendset.operators.taxonomy import category_of, fault_dim
-from mendset.plans.base import CONFIGS, HCL, LINE_COUNT_SQL, TPL, longs, query, table, taxonomy_sql
+from mendset.plans.base import CONFIGS, HCL, LINE_COUNT_SQL, SQL, TPL, longs, query, table, taxonomy_sql
 from mendset.plans.faults import ALL_BROKEN, both_formats
 from mendset.sources import corpus
 from mendset.sources.corpus import materialized
-from mendset.sources.rendered import configs, hcl_configs
+from mendset.sources.rendered import configs
 
 # A record table out of `documents`: every branch of filters, quotas and defaults occurs in it.
 _FAULTS = [
@@ -52,15 +52,25 @@ def _records(spark, sf_dir) -> DataFrame:
 
 
 
+_MADE = "\nUNION ALL ".join(
+    f"SELECT doc_id, '{fmt}' AS format, '{f}' AS fault_id, description, broken_hash FROM ({SQL[f]}) WHERE part = 0"
+    for fmt, names in (("terraform", HCL_FAULTS), ("cloudformation", TEMPLATE_FAULTS))
+    for f in names
+)
+
+
 @query(
     "to_record",
-    f"""WITH {HCL}, e AS (SELECT *, regexp_extract(text, 'region = "([^"]*)"', 1) AS v FROM hcl WHERE contains(text, 'region = "'))
-SELECT sha256(concat_ws('|', doc_id::VARCHAR, md5(text), 'SEMANTIC.invalid_region', '1')) AS id, 'terraform' AS format, md5(replace(text, 'region = "' || v, 'region = "us-fictional-1')) AS broken_hash,
- 'Error: Invalid AWS Region' AS errors, 0::BIGINT AS n_warnings, 'SEMANTIC.invalid_region' AS fault_types, 'Changed region from ' || v || ' to us-fictional-1' AS fault_description,
- 'low' AS difficulty, 'programmatic' AS source, md5(text) AS gold_hash, doc_id * 100 + 10 AS seq FROM e""",
+    f"""WITH {HCL}, {TPL}, {taxonomy_sql()}, made AS ({_MADE}),
+golds AS (SELECT doc_id, 'terraform' AS format, md5(text) AS gold_hash FROM hcl UNION ALL SELECT doc_id, 'cloudformation', md5(text) FROM tpl)
+SELECT sha256(concat_ws('|', doc_id::VARCHAR, gold_hash, fault_id, '1')) AS id, format, broken_hash,
+ CASE WHEN example_error = '' THEN 'Injected ' || fault_id ELSE example_error END AS errors, 0::BIGINT AS n_warnings, fault_id AS fault_types,
+ made.description AS fault_description, severity AS difficulty, 'programmatic' AS source, gold_hash, doc_id * 100 + ord AS seq
+FROM made JOIN golds USING (doc_id, format) JOIN faults USING (fault_id)""",
 )
 def to_record(spark, sf_dir):
-    broken = inject(hcl_configs(spark, sf_dir), ["SEMANTIC.invalid_region"], [])
+    """Records of all faults on every config of their format."""
+    broken = inject(both_formats(spark, sf_dir).withColumn("seq", F.col("doc_id")))
     rows = records.to_record(broken, fault_dim(spark))
     return rows.select(
         "id", "format", F.md5("broken_config").alias("broken_hash"), F.array_join("errors", "|").alias("errors"),
@@ -194,7 +204,7 @@ SELECT '{{"total_records":' || (SELECT count(*) FROM rec) || ',"total_gold_confi
 def metadata_sink(spark, sf_dir):
     rows = records.group_split(_records(spark, sf_dir)).withColumn("format", F.coalesce("format", F.lit("none")))
     path = corpus.new_path(spark)
-    records.metadata_sink(materialized(rows.select("gold_hash", "fault_types", "format", "source", "difficulty", "split")), path)
+    records.metadata_sink(rows, path)
     return spark.read.text(path).select(F.col("value").alias("document"))
 
 

@@ -415,14 +415,12 @@ def attempt_loop_query(spark, sf_dir):
     "trusted_errors",
     f"""WITH {CONFIGS}, {taxonomy_sql()}
 SELECT c.doc_id, f.fault_id, CASE WHEN f.example_error = '' THEN 'Injected ' || f.fault_id ELSE f.example_error END AS error
-FROM configs c JOIN faults f ON list_contains(string_split(f.formats, ','), c.format) WHERE f.category = 'SECURITY'""",
+FROM configs c JOIN faults f ON list_contains(string_split(f.formats, ','), c.format)""",
 )
 def trusted_errors_query(spark, sf_dir):
-    from mendset.operators.taxonomy import applicability_join, by_category
+    from mendset.operators.taxonomy import applicability_join
 
-    pairs = applicability_join(
-        configs(spark, sf_dir).select("doc_id", "format"), by_category(fault_dim(spark), "SECURITY")
-    )
+    pairs = applicability_join(configs(spark, sf_dir).select("doc_id", "format"), fault_dim(spark))
     error = trusted_errors(F.col("fault_id"), F.col("example_error"))[0]
     return pairs.select("doc_id", "fault_id", error.alias("error"))
 

@@ -334,3 +334,38 @@ def test_rotation_spreads_the_faults(spark, sf):
     per_doc = edits_of(docs, "hcl", plain, variants=2).groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set("fault_id").alias("f"))
     rows = per_doc.collect()
     assert {r.n for r in rows} == {2} and {f for r in rows for f in r.f} == set(plain) and len(names) == 19
+
+
+def test_line_changes_stay_in_the_row(spark):
+    from collections import Counter
+    from random import Random
+
+    from mendset.operators import gates
+
+    draw = Random(8)
+    text = lambda: draw.choice([None, "", "\n"] + ["\n".join(draw.choices(["a", "b", "é", "", "a "], k=draw.randrange(12))) for _ in range(9)])
+    rows = [(i, text(), text()) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, g string, b string")
+    changes = gates.line_changes(df, "k", "g", "b")
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "Python" not in plan
+    want = {}
+    for k, g, b in rows:
+        if g is not None and b is not None and g + b:
+            x, y = Counter(g.splitlines()), Counter(b.splitlines())
+            want[k] = ((y - x).total(), (x - y).total())
+    assert {r.k: (r.added, r.removed) for r in changes.collect()} == want
+
+
+def test_metadata_is_one_scan(spark):
+    from mendset.operators import records
+
+    rows = [("h1", ["A.x", "B.y"], "terraform", None, "low", "train"), ("h1", None, None, "agentic", "low", "train"), ("h2", [], "terraform", "agentic", "high", "other")]
+    df = spark.createDataFrame(rows, "gold_hash string, fault_types array<string>, format string, source string, difficulty string, split string")
+    made = records.metadata(df)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    r = made.first()
+    assert (r.total_records, r.total_gold_configs, r.splits) == (3, 2, {"train": 2, "val": 0, "test": 0})
+    assert r.fault_type_distribution == {"A.x": 1, "B.y": 1} and r.format_distribution == {"terraform": 2} and r.source_distribution == {"agentic": 2}
+    empty = records.metadata(df.limit(0)).first()
+    assert (empty.total_records, empty.total_gold_configs, empty.difficulty_distribution) == (0, 0, {})
