@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendset.operators import filters, formats
 from mendset.plans.base import CONFIGS, HCL, TPL, WHITESPACE_SQL, query, table
-from mendset.sources import corpus
+from mendset.sources import corpus, landing
 from mendset.sources.rendered import HCL_PATH, TEMPLATE_PATH, configs, hcl_configs, template_configs
 
 # ---- 2.1 sources and sinks
@@ -39,25 +42,38 @@ def record_scan(spark, sf_dir):
     return corpus.record_scan(spark, path, "event_id bigint, k bigint, note string")
 
 
-@query(
-    "landing_key",
-    r"""WITH files AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS repo, 'src/v' || (page_id % 3) || CASE page_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.tf' ELSE '' END AS path,
+_LANDED = r"""WITH files AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS repo, 'src/v' || (page_id % 3) || CASE page_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.tf' ELSE '' END AS path,
     CASE WHEN page_id % 2 = 0 THEN 'cloudformation' ELSE 'terraform' END AS format FROM pages),
 e AS (SELECT *, CASE WHEN format = 'terraform' THEN '.tf' WHEN ends_with(path, '.json') THEN '.json' ELSE '.yaml' END AS ext FROM files),
 k AS (SELECT *, replace(replace(repo || '__' || path, '/', '_'), '\', '_') AS safe FROM e)
-SELECT format, CASE WHEN ends_with(safe, ext) THEN safe ELSE safe || ext END AS key, max(page_id) AS seq FROM k GROUP BY ALL""",
-)
-def landing_key(spark, sf_dir):
+SELECT format, CASE WHEN ends_with(safe, ext) THEN safe ELSE safe || ext END AS key, max(page_id) AS seq FROM k GROUP BY ALL"""
+
+
+def _landing_files(spark, sf_dir) -> DataFrame:
     path = F.concat(
         F.lit("src/v"), (F.col("page_id") % 3).cast("string"),
         F.when(F.col("page_id") % 4 == 0, ".json").when(F.col("page_id") % 4 == 1, ".tf").otherwise(""),
     )
-    files = table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("seq"), F.regexp_extract("url", "//([^/]+)", 1).alias("repo"), path.alias("path"),
         F.when(F.col("page_id") % 2 == 0, "cloudformation").otherwise("terraform").alias("format"),
         F.col("html").alias("content"),
     )
-    return corpus.land(files).select("format", "key", "seq")
+
+
+@query("landing_key", _LANDED)
+def landing_key(spark, sf_dir):
+    return corpus.land(_landing_files(spark, sf_dir)).select("format", "key", "seq")
+
+
+@query("landing_store", _LANDED)
+def landing_store(spark, sf_dir):
+    """The same files landed in two runs, which both meet most keys; the later run holds older files, too."""
+    files = _landing_files(spark, sf_dir)
+    first = F.col("seq") % 3 != 0
+    name = f"landed_{uuid.uuid4().hex}"
+    landing.begin(files.filter(first), name, 8, corpus.new_path(spark))
+    return landing.merged(spark, name, files.filter(~first)).select("format", "key", "seq")
 
 
 @query(
