@@ -1,12 +1,15 @@
 """Quality rules under weak supervision: rules vote or abstain, EM finds how far each can be trusted.
 
 Column expressions measure every whole text; rules turn the measures into votes (keep, reject) or
-abstain. The latent quality of a document is good or bad; each rule has two accuracies, its chance to
-vote keep on a good document and reject on a bad one. Expectation-maximisation estimates them and the
-share of good documents from all documents, by way of the counts of vote patterns: Spark counts them,
-and the driver iterates over the counts, of which nine rules leave at most 3 ** 9, whatever the corpus
-holds. A document is kept where the
-posterior probability of good quality is at least a half and no base rule fails.
+abstain. The latent quality of a document is good, or bad in one of several kinds (KINDS): what is all
+symbols is not also shouted, and were both one class, its rules would seem to contradict each other.
+Each rule has its rates of the three votes on good documents and on each kind of bad ones, so an
+abstention tells something too, and a rule that only ever rejects is weighed by how often it does so
+where. Expectation-maximisation estimates the rates and shares from all documents, by way of the counts
+of vote patterns: Spark counts them, and the driver iterates over the counts, of which nine rules leave
+at most 3 ** 9, whatever the corpus holds. Nothing bounds the estimates but the STRENGTH documents that
+the beginning counts for, and rounds end when the likelihood does not grow any more. A document is kept
+where the posterior probability of good quality is at least a half and no base rule fails.
 
 Words are runs of characters other than 0x20 and 0x09-0x0D. Null texts count as empty: no words, so
 the base rule fails. Repeated rows are judged alike, each counting as a document. An empty table
@@ -15,8 +18,7 @@ keeps the prior. Measures and verdict replace columns of the same names.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,20 @@ from mendset.llm.tables import stored
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
-PRIOR, ACCURACY_GOOD, ACCURACY_BAD = 0.8, 0.95, 0.6  # where EM begins
+PRIOR = 0.8  # where EM begins: the share of good documents
+BEGIN_GOOD, BEGIN_BAD = (0.6, 0.03), (0.15, 0.7)  # and how often a rule votes keep and reject
 STRENGTH = 10.0  # documents that the beginning counts for in each estimate
-ROUNDS = 12
-SHARE = (0.5, 0.99)  # bounds of the share of good documents
-TRUST = (0.5, 0.999)  # bounds of an accuracy
+TOLERANCE = 1e-9  # gain of log-likelihood a document below which EM ends
+
+#: Kinds of bad documents, and the rules whose rejections tell each from good documents at the beginning.
+KINDS = {
+    "shape": ("length", "word_size"),
+    "symbols": ("symbols", "marked_words"),
+    "repetition": ("lines", "repeats"),
+    "shouting": ("capitals", "marks"),
+    "prose": ("sentences",),
+}
+ONE_SIDED = {"length", "word_size", "lines", "marks"}  # rules that never vote keep
 
 #: Measures that the query returns, and further ones that only rules use.
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -128,57 +139,72 @@ def voted(measures: DataFrame) -> DataFrame:
 
 
 class Trust:
-    """The share of good documents and each rule's accuracy on good and bad ones."""
-
-    def __init__(self, share: float, good: list[float], bad: list[float]):
-        self.share, self.good, self.bad = share, good, bad
-
-    def posterior(self, votes: str) -> float:
-        odds = math.log(self.share / (1 - self.share))
-        for vote, g, b in zip(votes, self.good, self.bad):
-            odds += {"0": 0.0, "1": math.log(g / (1 - b)), "2": math.log((1 - g) / b)}[vote]
-        return 1 / (1 + math.exp(-odds))
-
-    def log_odds(self, votes: Column) -> Column:
-        """Log odds of good quality given the votes."""
-        odds = F.lit(math.log(self.share / (1 - self.share)))
-        for j, (g, b) in enumerate(zip(self.good, self.bad)):
-            digit = F.substring(votes, j + 1, 1)
-            odds = odds + F.when(digit == "1", math.log(g / (1 - b))).when(digit == "2", math.log((1 - g) / b)).otherwise(0.0)
-        return odds
+    """Shares of the classes, good documents first, and the rates of votes: class x rule x vote."""
+
+    def __init__(self, shares: np.ndarray, rates: np.ndarray):
+        self.shares, self.rates = shares, rates
+        # a rate of nothing belongs to a vote that is never cast
+        self.log_shares, self.log_rates = np.log(shares), np.log(np.where(rates > 0, rates, 1))
+
+    @property
+    def share(self) -> float:
+        """The share of good documents."""
+        return float(self.shares[0])
+
+    def joint(self, votes: np.ndarray) -> np.ndarray:
+        """Log probability of each row of votes together with each class."""
+        return self.log_rates[:, np.arange(votes.shape[1]), votes].sum(2).T + self.log_shares
+
+    def p_good(self, votes: Column) -> Column:
+        """Posterior probability of good quality given the votes."""
+        bad = F.lit(0.0)
+        for k in range(1, len(self.shares)):
+            odds = F.lit(float(self.log_shares[k] - self.log_shares[0]))
+            for j, against in enumerate((self.log_rates[k] - self.log_rates[0]).tolist()):
+                digit = F.substring(votes, j + 1, 1)
+                odds = odds + F.when(digit == "0", against[0]).when(digit == "1", against[1]).otherwise(against[2])
+            bad = bad + F.exp(odds)
+        return 1 / (1 + bad)
 
 
 def begin() -> Trust:
-    m = len(rules())
-    return Trust(PRIOR, [ACCURACY_GOOD] * m, [ACCURACY_BAD] * m)
-
-
-def _bounded(value: float, bounds: tuple[float, float]) -> float:
-    return min(max(value, bounds[0]), bounds[1])
-
-
-def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> Trust:
+    """Where EM begins: a kind of bad documents differs from good ones in the votes of its own rules."""
+    names = list(rules())
+
+    def row(name: str, rates: tuple[float, float]) -> list[float]:
+        keep, reject = (0.0 if name in ONE_SIDED else rates[0]), rates[1]
+        return [1 - keep - reject, keep, reject]
+
+    classes = [(), *KINDS.values()]
+    rates = [[row(name, BEGIN_BAD if name in own else BEGIN_GOOD) for name in names] for own in classes]
+    return Trust(np.array([PRIOR] + [(1 - PRIOR) / len(KINDS)] * len(KINDS)), np.array(rates))
+
+
+def estimated(votes: np.ndarray, counts: np.ndarray, tolerance: float = TOLERANCE) -> Trust:
+    """EM over rows of votes and their counts, until a round gains less than `tolerance` of
+    log-likelihood a document. The beginning counts as STRENGTH documents of each class."""
+    start = trust = begin()
+    cast = np.eye(3)[votes]  # pattern x rule x vote
+    last = -np.inf
+    while True:
+        joint = trust.joint(votes)
+        whole = np.logaddexp.reduce(joint, axis=1)
+        begun = (start.shares * trust.log_shares).sum() + (start.rates * trust.log_rates).sum()
+        now = counts @ whole + STRENGTH * begun
+        if now - last < tolerance * (counts.sum() + STRENGTH):
+            return trust
+        last = now
+        weight = np.exp(joint - whole[:, None]) * counts[:, None]
+        shares = weight.sum(0) + STRENGTH * start.shares
+        rates = np.einsum("pk,pjv->kjv", weight, cast) + STRENGTH * start.rates
+        trust = Trust(shares / shares.sum(), rates / rates.sum(2, keepdims=True))
+
+
+def estimate(patterns: DataFrame) -> Trust:
     """EM over the pattern counts (votes, n), at most 3 ** len(rules()) rows."""
-    rows = [(r.votes, r.n) for r in patterns.collect()]
-    trust = begin()
-    m = len(trust.good)
-    for _ in range(rounds):
-        right_wrong = {"good": [[0.0, 0.0] for _ in range(m)], "bad": [[0.0, 0.0] for _ in range(m)]}
-        share, total = STRENGTH * PRIOR, STRENGTH
-        for votes, n in rows:
-            p = trust.posterior(votes)
-            share, total = share + p * n, total + n
-            for j, vote in enumerate(votes):
-                if vote != "0":
-                    right_wrong["good"][j][vote == "2"] += p * n
-                    right_wrong["bad"][j][vote == "1"] += (1 - p) * n
-        accuracy = lambda rw, prior: _bounded((rw[0] + STRENGTH * prior) / (sum(rw) + STRENGTH), TRUST)
-        trust = Trust(
-            _bounded(share / total, SHARE),
-            [accuracy(rw, ACCURACY_GOOD) for rw in right_wrong["good"]],
-            [accuracy(rw, ACCURACY_BAD) for rw in right_wrong["bad"]],
-        )
-    return trust
+    rows = sorted((r.votes, r.n) for r in patterns.collect())
+    votes = np.array([[int(v) for v in r[0]] for r in rows], np.int64).reshape(len(rows), len(rules()))
+    return estimated(votes, np.array([r[1] for r in rows], np.float64))
 
 
 def patterns(votes: DataFrame) -> DataFrame:
@@ -194,9 +220,8 @@ def judged(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataF
     own = [c for c in docs.columns if c not in names and (keep_text or c != text)]
     table = stored(voted(measured(docs, text)).select(*[F.col(f"`{c}`") for c in own], *BASE, *MORE, "votes"))
     trust = estimate(patterns(table))
-    p = 1 / (1 + F.exp(-trust.log_odds(F.col("votes"))))
-    failed = base_failed()
-    return table.withColumns({"base_failed": failed, "p_good": p, "kept": ~failed & (p >= 0.5)})
+    scored = table.withColumns({"base_failed": base_failed(), "p_good": trust.p_good(F.col("votes"))})
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
 def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
