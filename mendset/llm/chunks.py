@@ -98,9 +98,10 @@ def chunk_rows(docs: DataFrame, doc_id: str, text: str, narrow: bool) -> DataFra
     return rows.mapInArrow(cut, schema)
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Repeated passages: doc_id, start and stop (bytes of the UTF-8 text), words, words_removed,
-    cuts (array of the byte ranges that `without_repeats` removes), copies (most of any chunk).
+    cuts (array of the byte ranges that `without_repeats` removes), copies (most of any chunk). Runs of
+    fewer than `min_words` words are left alone.
 
     The digests are counted with map-side partial sums and joined back, so a chunk that a third of all
     documents share is neither gathered nor sorted in one task.
@@ -127,7 +128,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         F.max("copies").alias("copies"),
     )
     own = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id")
-    return part.filter(F.col("words") >= MIN_WORDS).select(own, "start", "stop", "words", "words_removed", "cuts", "copies")
+    return part.filter(F.col("words") >= min_words).select(own, "start", "stop", "words", "words_removed", "cuts", "copies")
 
 
 def _cut(text: Column, cuts: Column) -> Column:
@@ -152,9 +153,16 @@ def _cut(text: Column, cuts: Column) -> Column:
     return shortened(text, cuts)
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with all but the first occurrence of each repeated passage cut from `text`."""
-    per = repeats(docs, doc_id, text).groupBy("doc_id").agg(F.flatten(F.collect_list("cuts")).alias("_cuts"))
+def without_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, found: DataFrame | None = None
+) -> DataFrame:
+    """The documents with all but the first occurrence of each repeated passage cut from `text`.
+
+    `found` is what `repeats` made of the same documents, where it is at hand.
+    """
+    found = repeats(docs, doc_id, text, min_words) if found is None else found
+    cut = found.filter(F.size("cuts") > 0)
+    per = cut.groupBy("doc_id").agg(F.flatten(F.collect_list("cuts")).alias("_cuts"))
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)))
     per = per.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "_cuts")
     joined = docs.withColumn("_id", key).join(per, "_id", "left")

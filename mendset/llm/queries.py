@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mendset.llm import chunks, class_lm, decontaminate, hard_negatives, histogram_sort, lattice, licenses, lsh_forest, phrases, pieces, pseudonyms, quality, urls
 from mendset.llm.cross_sql import SQL
+from mendset.llm.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,8 +44,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunks.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "start", "stop", "words", "words_removed", "copies")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = stored(chunks.repeats(docs))
+    left = chunks.without_repeats(docs, found=found).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    # rows of one id are one document: its texts are told together
+    rest = left.groupBy("doc_id").agg(F.sum(F.length("text")).alias("left_chars"), F.min(F.sha2("text", 256)).alias("left_sha256"))
+    return found.select("doc_id", "start", "stop", "words", "words_removed", "copies").join(rest, "doc_id", "left")
 
 
 # The rules of the registered query.
