@@ -4,11 +4,13 @@ Texts are sets of their runs of WIDTH words (a text of fewer words is one run of
 texts are linked where the sets' Jaccard similarity is THRESHOLD or more.
 
 1. Equal texts collapse to one node with the number of its copies.
-2. Each node has TREES paths of DEPTH MinHash values. The trees are sorted tries of paths, and nodes
-   meet where their paths share a prefix. The prefix starts at full DEPTH and is shortened until a
-   pair at the threshold meets in some tree with probability TARGET (`prefix_length`).
-3. Nodes that meet are tied to the least node of their trie node, and the components of these ties
-   are clusters: every pair that met lies in one cluster.
+2. Each node has a key in each of TREES trees: the hash of the first `prefix_length` of DEPTH MinHash
+   values, the longest prefix at which a pair at the threshold meets in some tree with probability
+   TARGET. The length is computed once from these constants (6), not node by node: nothing is sorted or
+   descended, so this is banding rather than a forest whose prefixes adapt to what they meet.
+3. Nodes that share a key are tied to the least node of that key, and the components of these ties
+   are clusters: every pair that met lies in one cluster. Ties are not verified before, so many false
+   ones can chain into a large cluster, whose blocks are then all compared with one another.
 4. Clusters are verified exactly, block against block: a task gets two blocks of at most BLOCK_DOCS
    nodes and multiplies their shingle incidence matrices. It returns, for each node, the documents it
    links to and one edge to its local component, so a group of copies never becomes a table of pairs.
