@@ -4,21 +4,21 @@ Texts are sets of their runs of WIDTH words (a text of fewer words is one run of
 texts are linked where the sets' Jaccard similarity is THRESHOLD or more.
 
 1. Equal texts collapse to one node with the number of its copies.
-2. Each node has a key in each of TREES trees: the hash of the first `prefix_length` of DEPTH MinHash
-   values, the longest prefix at which a pair at the threshold meets in some tree with probability
-   TARGET. The length is computed once from these constants (6), not node by node: nothing is sorted or
-   descended, so this is banding rather than a forest whose prefixes adapt to what they meet.
-3. Nodes that share a key are tied to the least node of that key, and the components of these ties
-   are clusters: every pair that met lies in one cluster. Ties are not verified before, so many false
-   ones can chain into a large cluster, whose blocks are then all compared with one another.
+2. Each node has a path of DEPTH MinHash values in each of TREES prefix tries. It starts with its longest
+   prefixes and shortens them, those that open the smallest trie nodes first, until a pair at the
+   threshold is met with probability TARGET (`tries.leaves`): crowded trie nodes stay divided by longer
+   prefixes as far as sparse ones give the recall.
+3. Texts that meet are tied to leaders of their trie node only if their sketches are alike
+   (`tries.ties`), so false meetings do not chain. The components of the ties are clusters: every linked
+   pair that met lies in one cluster.
 4. Clusters are verified exactly, block against block: a task gets two blocks of at most BLOCK_DOCS
    nodes and multiplies their shingle incidence matrices. It returns, for each node, the documents it
    links to and one edge to its local component, so a group of copies never becomes a table of pairs.
 5. Classes are the components of the verified links.
 
 Null texts and texts without words have no runs and are linked to none. Repeated rows count as
-copies. Rows of one id with different texts are different documents. A null id counts as the least; a
-class it stands for has the class id null. An empty table gives none.
+copies. Rows of one id with different texts are different documents. A null id, or one that is not an
+integer, counts as the least; a class it stands for has the class id null. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,21 +33,15 @@ from pyspark.sql import functions as F
 from mendset.llm.components import components
 from mendset.llm.flat import BLOCK, mix, slices, text_bytes, windows, word_hashes, word_spans
 from mendset.llm.tables import stored
+from mendset.llm.tries import LENGTHS, leaves, ties
 
 WIDTH, THRESHOLD = 5, (4, 5)  # similarity as a fraction, so that it is compared exactly
-TREES, DEPTH, TARGET = 32, 8, 0.9995
+TREES, DEPTH, TARGET = 32, LENGTHS[-1], 0.9995
 BLOCK_DOCS, BLOCK_RUNS = 512, 1 << 19
 SMALL = 500_000  # rows of up to five numbers that may be broadcast
 COLUMNS_AT_ONCE = 1 << 13
 
 
-def prefix_length(trees: int = TREES, depth: int = DEPTH, target: float = TARGET, similarity: float = THRESHOLD[0] / THRESHOLD[1]) -> int:
-    """The longest prefix that still meets the target recall at the given similarity."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < target:
-        depth -= 1
-    return depth
-
-
 def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of words of a batch, and the index of the text of each."""
     data, offsets = text_bytes(texts)
@@ -60,37 +54,49 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (random[:n] >> np.uint64(32)).astype(np.uint32), (random[n:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def paths(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The number of runs of each text, and the hash of its path prefix in every tree."""
+def paths(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of runs of each text; for each text with runs and each tree the hash of its first
+    LENGTHS[0] MinHash values and the values after them; and a byte of every value, as its sketch."""
     hashes, owner = runs(texts)
     counts = np.bincount(owner, minlength=len(texts))
-    keys = np.zeros((len(texts), TREES), np.uint64)
     filled = np.flatnonzero(counts)
+    stems = np.zeros((len(filled), TREES), np.uint64)
+    after = np.zeros((len(filled), TREES, DEPTH - LENGTHS[0]), np.uint32)
+    sketches = np.zeros((len(filled), TREES * DEPTH), np.uint8)
     if len(filled):
         first = (np.cumsum(counts) - counts)[filled]
         low = (hashes >> np.uint64(32)).astype(np.uint32)
         salt, factor = _constants(TREES * DEPTH)
         for t in range(TREES):
             key = np.full(len(filled), t, np.uint64)
-            for j in range(t * DEPTH, t * DEPTH + depth):
+            for level in range(DEPTH):
+                j = t * DEPTH + level
                 least = np.minimum.reduceat((low ^ salt[j]) * factor[j], first)
-                key = mix(key * np.uint64(0xD6E8FEB86659FD93) + least + np.uint64(1))
-            keys[filled, t] = key
-    return counts, keys
+                sketches[:, j] = least & np.uint32(255)
+                if level < LENGTHS[0]:
+                    key = mix(key * np.uint64(0xD6E8FEB86659FD93) + least + np.uint64(1))
+                else:
+                    after[:, t, level - LENGTHS[0]] = least
+            stems[:, t] = key
+    return counts, stems, after, sketches
 
 
-def signature(text: Column, depth: int) -> Column:
-    """struct(runs, keys): the number of (not necessarily distinct) runs and a key for each tree."""
+def signature(text: Column) -> Column:
+    """struct(runs, paths, sketch): the number of (not necessarily distinct) runs, the path in each tree
+    and the sketch; a text without runs has neither path nor sketch."""
 
-    @F.arrow_udf("runs int, keys array<bigint>")
+    @F.arrow_udf("runs int, paths array<struct<stem: bigint, next: int, last: int>>, sketch binary")
     def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = [paths(texts.slice(a, b - a), depth) for a, b in slices(texts, BLOCK)]
-            counts = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-            keys = np.concatenate([p[1][p[0] > 0].ravel() for p in parts]) if parts else np.zeros(0, np.uint64)
-            offsets = np.append(0, np.cumsum(np.where(counts > 0, TREES, 0)))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int32()), lists], names=["runs", "keys"])
+            parts = [paths(texts.slice(a, b - a)) for a, b in slices(texts, BLOCK)] or [paths(texts)]
+            counts, stems, after, sketches = (np.concatenate(c) for c in zip(*parts))
+            path = pa.StructArray.from_arrays(
+                [pa.array(c) for c in (stems.ravel().view(np.int64), after[..., 0].ravel().view(np.int32), after[..., 1].ravel().view(np.int32))],
+                names=["stem", "next", "last"],
+            )
+            offsets = lambda width: pa.array(np.append(0, np.cumsum(np.where(counts > 0, width, 0))), pa.int32())
+            sketch = pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets(TREES * DEPTH).buffers()[1], pa.py_buffer(sketches.tobytes())])
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int32()), pa.ListArray.from_arrays(offsets(TREES), path), sketch], names=["runs", "paths", "sketch"])
 
     return signed(text)
 
@@ -222,26 +228,27 @@ class Joined:
         self.doc_id = doc_id
         self.digest = {"h1": F.xxhash64(self.text), "h2": F.xxhash64(F.lit(1), self.text), "size": F.coalesce(F.octet_length(self.text), F.lit(-1))}
         keys = ["h1", "h2", "size"]
-        signed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), *[c.alias(k) for k, c in self.digest.items()], signature(self.text, prefix_length()).alias("s"))
-        self.docs = stored(signed.select("doc_id", *keys, "s.runs", "s.keys", F.monotonically_increasing_id().alias("row")))
+        signed = docs.select(self.id().alias("doc_id"), *[c.alias(k) for k, c in self.digest.items()], signature(self.text).alias("s"))
+        self.docs = stored(signed.select("doc_id", *keys, "s.*", F.monotonically_increasing_id().alias("row")))
         least = F.min("row").alias("node")
         # the node's id is that of its least document; a null id counts as the least
         self.nodes = stored(self.docs.groupBy(*keys).agg(least, F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies"), F.max("runs").alias("n_runs")))
         paths_ = self.docs.join(self.nodes.select(F.col("node").alias("row")), "row", "left_semi").filter("runs > 0")
-        tries = stored(paths_.select(F.col("row").alias("node"), "keys"))
-        met = tries.select("node", F.explode("keys").alias("key"))
-        least = met.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-        ties = met.join(least.select("key", "low"), "key").filter("node <> low").select("node", "low")
-        clusters = components(ties)
+        tries = stored(paths_.select(F.col("row").alias("node"), "paths", "sketch"))
+        up, down = THRESHOLD
+        clusters = components(ties(leaves(tries, TREES, up / down, TARGET), tries.select("node", "sketch")))
         self._verify(docs, clusters, keys)
 
+    def id(self) -> Column:
+        return F.col(self.doc_id).cast("string").try_cast("bigint")
+
     def _verify(self, docs: DataFrame, clusters: DataFrame, keys: list[str]) -> None:
         members = stored(clusters.join(self.nodes, "node"))
         n = members.count()
         blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_runs") / BLOCK_RUNS)).cast("int")
         sized = members.groupBy("root").agg(blocks.alias("blocks"))
         wanted = members.join(sized, "root").select("root", "node", "copies", "blocks", F.col("rep").alias("doc_id"), *keys)
-        texts = docs.select(F.coalesce(F.col(self.doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), *[c.alias(k) for k, c in self.digest.items()], self.text.alias("text"))
+        texts = docs.select(F.coalesce(self.id(), F.lit(-(1 << 63))).alias("doc_id"), *[c.alias(k) for k, c in self.digest.items()], self.text.alias("text"))
         found = joined_small(texts, wanted, ["doc_id", *keys], "inner", n)
         sets = found.select("root", "node", "copies", "blocks", run_set(F.col("text")).alias("runs"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -261,7 +268,7 @@ class Joined:
     def per_document(self) -> DataFrame:
         """One row per document: doc_id, digest, node, rep, class_id, kept (node), n_links, times."""
         nodes = self.nodes.join(self.classes, "node", "left")
-        full = self.docs.drop("row", "keys", "runs").join(nodes, ["h1", "h2", "size"])
+        full = self.docs.drop("row", "paths", "sketch", "runs").join(nodes, ["h1", "h2", "size"])
         spoken = F.col("n_runs") > 0
         class_id = F.coalesce("class_id", "rep")
         return full.select(
@@ -290,7 +297,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     gone = stored(out.select(id_.alias("__lsh_id"), *[F.col(k).alias(f"__lsh_{k}") for k in keys]).distinct())
     again = stored(rows.groupBy(id_.alias("__lsh_id"), *[F.col(k).alias(f"__lsh_{k}") for k in keys]).count().filter("count > 1").drop("count"))
     n_gone, n_again = gone.count(), again.count()
-    marked = docs.withColumns({"__lsh_id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))), **{f"__lsh_{k}": c for k, c in joined.digest.items()}})
+    marked = docs.withColumns({"__lsh_id": F.coalesce(joined.id(), F.lit(-(1 << 63))), **{f"__lsh_{k}": c for k, c in joined.digest.items()}})
     on = ["__lsh_id", *[f"__lsh_{k}" for k in keys]]
     left = joined_small(marked, gone, on, "left_anti", n_gone)
     if n_again:  # rows repeated in full: their texts are shuffled, so only where there are any
