@@ -20,14 +20,18 @@ _FILE = """concat('corpus', CASE WHEN page_id % 7 = 0 THEN '/.cache' ELSE '' END
 
 @query(
     "corpus_scan",
-    rf"""SELECT path, length FROM (SELECT {_FILE} AS path, (length(html) % 120)::BIGINT AS length FROM pages)
-WHERE regexp_matches(path, '\.(tf|yaml|yml|json|template)$') AND NOT contains(path, '/.') AND length > 50""",
+    rf"""SELECT path, strlen(html)::BIGINT AS length, md5(html) AS text_md5
+FROM (SELECT {_FILE} AS path, page_id, coalesce(html, '') AS html FROM pages)
+WHERE regexp_matches(path, '\.(tf|yaml|yml|json|template)$') AND NOT contains(path, '/.') AND strlen(html) > 50 AND page_id % 11 <> 0""",
 )
 def corpus_scan(spark, sf_dir):
-    files = table(spark, sf_dir, "pages").select(
-        F.expr(_FILE).alias("path"), (F.length("html") % 120).cast("bigint").alias("length")
-    )
-    return corpus.keep_corpus_files(files)
+    """The pages as a folder of files, some in a hidden folder, some of another extension and some with bad bytes, scanned."""
+    root = corpus.new_path(spark)
+    bad = F.when(F.col("page_id") % 11 == 0, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(F.coalesce("html", F.lit("")).cast("binary"), bad)
+    corpus.write_files(table(spark, sf_dir, "pages").select(F.expr(_FILE).alias("path"), content.alias("content")), root)
+    found = corpus.corpus_scan(spark, root, ordered=False)
+    return found.select(F.regexp_extract("path", "/(corpus/.*)$", 1).alias("path"), "length", F.md5("text").alias("text_md5"))
 
 
 @query(

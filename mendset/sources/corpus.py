@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from mendset.operators.filters import last_per_key
@@ -58,6 +60,25 @@ def corpus_rejects(spark: SparkSession, root: str) -> DataFrame:
     return files.filter(~F.is_valid_utf8("text")).select("path", "length", F.lit("not UTF-8").alias("reason"))
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Write files (path, content) below `root`, a folder that driver and executors mount; a path that
+    comes twice is one file. Each task writes its own rows, so a repeated task writes them again."""
+    scheme, colon, rest = root.partition(":")
+    if colon and scheme != "file":
+        raise ValueError(f"not a mounted folder: {root}")
+    folder = "/" + rest.lstrip("/") if colon else root
+
+    def write(rows: Iterator[Row]) -> None:
+        for row in rows:
+            target = os.path.join(folder, row.path)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(target, "wb") as file:
+                file.write(row.content)
+
+    os.makedirs(folder, exist_ok=True)  # a scan of no files finds an empty folder
+    files.foreachPartition(write)
+
+
 def record_scan(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
     """JSON lines with an explicit schema: unknown keys are dropped, missing ones are null."""
     return spark.read.schema(schema).json(path)

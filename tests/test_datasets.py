@@ -369,3 +369,13 @@ def test_metadata_is_one_scan(spark):
     assert r.fault_type_distribution == {"A.x": 1, "B.y": 1} and r.format_distribution == {"terraform": 2} and r.source_distribution == {"agentic": 2}
     empty = records.metadata(df.limit(0)).first()
     assert (empty.total_records, empty.total_gold_configs, empty.difficulty_distribution) == (0, 0, {})
+
+
+def test_write_files(spark, tmp_path):
+    files = [("a/x.tf", b"x" * 60), ("a/b/y.yaml", b"\xff" * 60), (".h/z.tf", b"z" * 60)]
+    corpus.write_files(spark.createDataFrame(files, "path string, content binary"), f"file://{tmp_path}/tree")
+    assert [(r.path.rsplit("tree/", 1)[1], r.length) for r in corpus.corpus_scan(spark, f"{tmp_path}/tree").collect()] == [("a/x.tf", 60)]
+    corpus.write_files(spark.createDataFrame([], "path string, content binary"), f"{tmp_path}/none")
+    assert corpus.corpus_scan(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError):
+        corpus.write_files(spark.createDataFrame(files, "path string, content binary"), "hdfs://host/tree")
