@@ -78,3 +78,17 @@ def test_scan_stays_in_the_jvm(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("x", F.lit(1))
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow", plan)
+
+
+UNGATED = {  # no word of the gate
+    "Use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+    "modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "isc",
+    "to use, copy, modify, merge, publish, distribute, and/or sell copies of the Software": "mit",
+}
+
+
+def test_paragraphs_without_a_word_of_the_gate_are_scored(spark):
+    docs = spark.createDataFrame([(i, f"Other words.\n{s}") for i, s in enumerate(UNGATED)], "doc_id int, text string")
+    assert docs.filter(F.col("text").rlike(licenses.GATE)).count() == 0
+    got = {(r.doc_id, r.line): r.family for r in licenses.scan(docs, unknown=False).filter("confirmed").collect()}
+    assert got == {(i, 1): f for i, f in enumerate(UNGATED.values())}
