@@ -188,29 +188,15 @@ def _listed_property(d: Document, table: dict[str, list[str]]) -> Column:
 
 
 def _line_fault(d: Document, fault_id: str, keep, change, description: Column) -> Column:
-    """Draw one line among those kept and rewrite it."""
-
-    def with_offsets(lines: Column) -> Column:
-        return F.aggregate(
-            lines,
-            F.struct(
-                F.lit(0).alias("at"),
-                F.lit(0).alias("line"),
-                F.expr("cast(array() as array<struct<start:int,line:int,text:string>>)").alias("out"),
-            ),
-            lambda a, x: F.struct(
-                (a["at"] + F.length(x) + 1).alias("at"),
-                (a["line"] + 1).alias("line"),
-                F.when(
-                    keep(x),
-                    F.concat(
-                        a["out"],
-                        F.array(F.struct(a["at"].alias("start"), a["line"].alias("line"), x.alias("text"))),
-                    ),
-                ).otherwise(a["out"]).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
+    """Draw one line among those kept and rewrite it; only the place of the line drawn is summed up."""
+
+    def drawn(lines: Column) -> Column:
+        kept = F.filter(F.transform(lines, lambda x, i: F.when(keep(x), i)), lambda i: i.isNotNull())
+        return let(pick(kept, d.draw(fault_id)), lambda i: F.when(i.isNotNull(), placed(lines, i)))
+
+    def placed(lines: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice(lines, F.lit(1), i), F.lit(0), lambda at, x: at + F.length(x) + 1)
+        return F.struct(start.alias("start"), i.alias("line"), F.get(lines, i).alias("text"))
 
     def build(c: Column) -> Column:
         start, end, new, line = change(c)
@@ -222,7 +208,7 @@ def _line_fault(d: Document, fault_id: str, keep, change, description: Column) -
             description,
         )
 
-    chosen = pick(with_offsets(F.split(d.text, "\n", -1)), d.draw(fault_id))
+    chosen = let(F.split(d.text, "\n", -1), drawn)
     return let(chosen, lambda c: F.when(c.isNotNull(), build(c)))
 
 
