@@ -5,7 +5,10 @@ import yaml
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+from pyspark.sql import functions as F
+
 from mendset.functions import template_arrays
+from mendset.operators import checks, edits, inject
 from mendset.operators import structure_template as st
 
 RESOLVERS = yaml.SafeLoader.yaml_implicit_resolvers
@@ -92,3 +95,50 @@ def test_changed_templates_have_the_rows_of_the_tree(spark, monkeypatch):
         assert isinstance(got, pa.ListArray)
         assert got.to_pylist() == composed(ok, node, monkeypatch)
     assert read > 500
+
+
+GROUPS = """Parameters:
+  Only: {"Type": "String"}
+Resources:
+  Group:
+    Type: AWS::EC2::SecurityGroup
+    Properties:
+      GroupDescription: !Ref Only
+      SecurityGroupIngress:
+        - CidrIp: 0.0.0.0/0
+          FromPort: 0
+          ToPort: 65535
+  Alone:
+    Type: AWS::EC2::SecurityGroupIngress
+    DependsOn: Gone
+    Properties: {"CidrIp": "0.0.0.0/0", "Engine": "x", "A": {"B": !GetAtt Lost.Arn}, "C": !If [No, a, b], "D": !Select [3, [a]], "E": !Sub "${a"}
+  Disk: {"Type": "AWS::S3::Bucket", "DependsOn": "Disk", "Properties": {"ImageId": "ami-1", "BucketEncryption": {}, "J": !Join x}}
+"""
+
+
+def test_nodes_that_are_not_read_change_nothing(spark, monkeypatch):
+    texts = [YAML, JSON, GROUPS, GROUPS.replace("String", "Stri\\u006eg"), YAML.replace("Net:", "Net: # a"), "Resources: !X {\"a\": {\"Type\": \"b\"}}\n", "a: b", None]
+    configs = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string").coalesce(1)
+    made = lambda: sorted(inject.edits_of(configs, "template").drop("text").collect())
+    one = lambda f: sorted(inject.edits_of(configs, "template", [f]).drop("text").collect())
+    few = made()
+    each = {f: one(f) for f in inject.TEMPLATE_FAULTS}
+    assert sum(map(len, each.values())) == len(few) > 30
+    with monkeypatch.context() as m:
+        m.setattr(inject, "READS", {})
+        assert made() == few
+    assert sorted(r for rows in each.values() for r in rows) == few
+    for name, reads in checks.READS.items():
+        found = lambda docs: docs.select("doc_id", getattr(checks, name)(F.col("nodes")).alias("f")).orderBy("doc_id").collect()  # noqa: B023, E731
+        got = found(st.with_nodes(configs, reads))
+        assert got == found(st.with_nodes(configs)) and any(r.f for r in got), name
+    assert set(edits.READS) == set(inject.TEMPLATE_FAULTS)
+
+
+def test_only_nodes_that_are_read_are_handed_over(spark):
+    node = node_type(spark)
+    reads = [st.calls_of("Ref"), st.resource_key("Type"), (1, None, None, ("a",)), (5, "Resources", "Properties", None)]
+    texts = [YAML, *OTHER, JSON, "a: b # c\nc: d\n"]
+    whole, some = st._nodes(texts, node).to_pylist(), st._nodes(texts, node, reads).to_pylist()
+    assert some == [[n for n in nodes if st._matches(n["path"], reads)] for nodes in whole]
+    assert 0 < sum(map(len, some)) < sum(map(len, whole))
